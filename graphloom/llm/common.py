@@ -51,7 +51,7 @@ def release(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize`."""
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("graphloom-"):
+        if folder.getName().startswith("graphloom-") and folder.getParent() is not None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
