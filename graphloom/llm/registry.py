@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bestfit, decontam, ngramjoin, pii, quality, secrets, sharding, toxicity, urlfilter
+from graphloom.llm import bestfit, decontam, linededup, ngramjoin, pii, quality, secrets, sharding, toxicity, urlfilter
 from graphloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_line_dedup"] = linededup.ORACLE
+
+
 @query
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
