@@ -6,16 +6,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import quality
+from graphloom.llm import bestfit, decontam, linededup, ngramjoin, quality
 from graphloom.llm.common import materialize, table
 
+CAPACITY = 1024
+
+
+def _key():
+    return F.xxhash64("doc_id", "text")
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.quality_rules(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Duplicate lines go, and with them documents that keep no word."""
+    out = linededup.dedup_lines(docs)
+    left = F.translate(F.coalesce("text", F.lit("")), quality.SPACES, "") != ""
+    out = out.where(F.col("ld_removed").isNull() | left)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    groups = materialize(ngramjoin.join_documents(docs))
+    repeated = materialize(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id"))
+    out = docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        mine = F.col("doc_id").eqNullSafe(F.col("other"))
+        again = repeated.select(F.col("doc_id").alias("other"))
+        out = out.join(again, mine, "left_anti").unionByName(out.join(again, mine, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    hits = decontam.find_hits(docs.select(_key().alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    found = materialize(hits.where("n_hit > 0").select(F.col("doc_id").alias("key")).distinct())
+    return docs.withColumn("key", _key()).join(found, "key", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences; a row a piece."""
+    return bestfit.pack_documents(docs, CAPACITY)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("best-fit packing", packing_stage),
+]
 
 #: Packing needs a tokenizer, which SQL has not: tested against brute force.
 ORACLE_SQL = None
