@@ -4,13 +4,11 @@ A document's set is its distinct 5-word shingles (64-bit hashes).  Two sets with
 a Jaccard similarity of t or more share at least ceil(t * size) shingles of
 either, and this is used three times, each time without losing a link:
 
-1. *Survivors.*  In the order of hashes, linked sets share the first l of their
-   common shingles within their first ``n - ceil(t n) + l`` shingles.  With l a
-   fifth of the set, a document can have a link only if enough of these
-   shingles occur in another document.  Shingles are counted by buckets of
-   packed arrays, each batch sends a shingle once, and shingles shared inside a
-   batch are settled there, so a passage in a third of all documents costs one
-   entry a batch.
+1. *Survivors.*  A document with a link shares ceil(t * size) of its shingles
+   with that one document, so at least as many of them occur elsewhere.  All
+   shingles are counted, by buckets of packed arrays; each batch sends a shingle
+   once, and shingles shared inside a batch are settled there, so a passage in a
+   third of all documents costs one entry a batch.
 2. *Candidates.*  Equal sets become one class.  Among surviving classes the
    rarest shingles first, ``n - ceil(t n) + 1`` of them, form the prefix; linked
    classes share a prefix shingle, so they lie in one connected component of
@@ -58,11 +56,6 @@ def least(n):
     return -(-NUM * n // DEN)
 
 
-def extra(n):
-    """l: the common shingles looked for in the first step."""
-    return -(-n // 5)
-
-
 def space_table() -> np.ndarray:
     table = np.ones(256, bool)
     table[[32, *range(9, 14)]] = False
@@ -122,7 +115,7 @@ def sign_documents(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
 
 
 def count_shared(docs: DataFrame, buckets: int) -> DataFrame:
-    """``doc_id, shared``: shingles of the first-step prefix that another document's prefix has.
+    """``doc_id, shared``: how many of its shingles another document has too.
 
     May count too many (32 bits of a shingle are compared within a bucket),
     never too few.
@@ -165,12 +158,11 @@ def count_shared(docs: DataFrame, buckets: int) -> DataFrame:
             bounds, raw = ab.text_buffers(batch.column("text"))
             for first, last in ab.chunks(bounds):
                 for d, tokens in enumerate(shingle_sets(bounds[first : last + 1], raw), first):
-                    n = len(tokens)
-                    if not n:
+                    if not len(tokens):
                         continue
-                    held.append((len(ids), tokens[: n - least(n) + extra(n)]))
+                    held.append((len(ids), tokens))
                     ids.append(doc_ids[d])
-                    size += len(held[-1][1])
+                    size += len(tokens)
                     if size >= FLUSH or len(ids) == 65535:
                         yield send(pack(held, np.array(ids, np.int64)))
                         held, ids, size = [], [], 0
@@ -341,9 +333,9 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(sign_documents(docs))
     total = signed.agg(F.sum("n").alias("t")).first()["t"] or 0
-    shared = count_shared(docs.where("doc_id is not null"), max(8, int(total * 2 // 5 // BUCKET) + 1))
+    shared = count_shared(docs.where("doc_id is not null"), max(8, int(total // BUCKET) + 1))
     # A document without an id cannot be credited: it stays a survivor.
-    enough = F.floor((F.floor((F.col("n") * NUM + DEN - 1) / DEN) + 4) / 5)
+    enough = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
     survivors = signed.join(shared, "doc_id", "left").where((F.col("n") > 0) & (F.col("doc_id").isNull() | (F.col("shared") >= enough)))
     key = ["n", "s1", "s2"]
     classes = materialize(
