@@ -9,8 +9,10 @@ either, and this is used three times, each time without losing a link:
    shingles are counted, by buckets of packed arrays; each batch sends a shingle
    once, and shingles shared inside a batch are settled there, so a passage in a
    third of all documents costs one entry a batch.
-2. *Candidates.*  Equal sets become one class.  Among surviving classes the
-   rarest shingles first, ``n - ceil(t n) + 1`` of them, form the prefix; linked
+2. *Candidates.*  Equal sets become one class.  In the order of hashes, linked
+   classes share their first l common shingles (l a fifth of the set) within
+   their first ``n - ceil(t n) + l``; only these are sent.  Ordered by rarity,
+   all but l - 1 of them form the prefix (l of the smallest partner); linked
    classes share a prefix shingle, so they lie in one connected component of
    the graph of prefix shingles.
 3. *T-occurrence.*  Components are dealt out as blocks of bounded size (small
@@ -33,6 +35,8 @@ through them their links; its own id is a label only where no other is there.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +47,11 @@ from graphloom.llm.common import materialize, release
 SHINGLE = 5
 #: Similarity as numerator and denominator.
 NUM, DEN = 4, 5
-#: Shingles that a counting bucket holds about; tokens a mapper gathers before it sends.
-BUCKET, FLUSH = 1_000_000, 2_000_000
+#: Shingles that a counting bucket holds about; tokens a mapper gathers before it
+#: sends; documents whose counts are summed together.
+BUCKET, FLUSH, DOCS = 500_000, 2_000_000, 20_000
+#: Classes whose ids may be broadcast (8 bytes each); beyond, a shuffled join.
+FEW_IDS = 2_000_000
 #: Tokens in one T-occurrence block.
 BLOCK = 2_000_000
 #: Share of long lists in DivideSkip.
@@ -56,6 +63,21 @@ def least(n):
     return -(-NUM * n // DEN)
 
 
+def extra(n):
+    """l: the common shingles that the first part of a set must hold."""
+    return -(-n // 5)
+
+
+def first_part(n):
+    """Shingles, by hash, among which linked sets share l."""
+    return n - least(n) + extra(n)
+
+
+def prefix_size(n):
+    """Of these, the rarest ones that hold one common shingle at least."""
+    return first_part(n) - extra(least(n)) + 1
+
+
 def space_table() -> np.ndarray:
     table = np.ones(256, bool)
     table[[32, *range(9, 14)]] = False
@@ -114,41 +136,68 @@ def sign_documents(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def count_shared(docs: DataFrame, buckets: int) -> DataFrame:
+def _low_bits(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each sorted token, and the next 24 bits (sorted within the bucket)."""
+    x = (tokens >> np.uint64(16)) * np.uint64(buckets)
+    return x >> np.uint64(48), ((x >> np.uint64(24)) & np.uint64(0xFFFFFF)).astype(np.uint32)
+
+
+def _squeeze(sorted24: np.ndarray) -> bytes:
+    """Sorted 24-bit numbers as counts of their upper 8 bits and their lower 16 bits."""
+    counts = zlib.compress(np.bincount(sorted24 >> 16, minlength=256).astype(np.uint32).tobytes(), 1)
+    return len(counts).to_bytes(4, "little") + counts + (sorted24 & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def _unsqueeze(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[:4], "little")
+    counts = np.frombuffer(zlib.decompress(blob[4 : 4 + size]), np.uint32)
+    return (np.repeat(np.arange(256, dtype=np.uint32), counts) << np.uint32(16)) | np.frombuffer(blob, np.uint16, offset=4 + size)
+
+
+def count_shared(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
     """``doc_id, shared``: how many of its shingles another document has too.
 
-    May count too many (32 bits of a shingle are compared within a bucket),
-    never too few.
+    May count too many (24 bits of a shingle are compared within a bucket),
+    never too few.  Both shuffles carry packed arrays, a row a bucket and batch
+    or a row a bucket and group of documents.
     """
     import pyarrow as pa
 
+    names = ["bucket", "tokens", "owners", "ids"]
+
     def send(rows):
         cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "tokens", "owners", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
+
+    def pack_ids(ids: np.ndarray) -> bytes:
+        return zlib.compress(np.diff(ids, prepend=0).tobytes(), 1)
+
+    def unpack_ids(blob: bytes) -> np.ndarray:
+        return np.cumsum(np.frombuffer(zlib.decompress(blob), np.int64))
 
     def pack(held, ids):
-        """One row a bucket: tokens sorted, owner of each (65535: several), ids of owners."""
+        """One row a bucket: tokens, owner of each (65535: several), ids of owners."""
         tokens = np.concatenate([t for _, t in held])
         owner = np.concatenate([np.full(len(t), k, np.uint16) for k, t in held])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        fresh = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        at = np.flatnonzero(fresh)
-        many = np.diff(np.append(at, len(tokens))) > 1
-        credit = np.bincount(owner[np.repeat(many, np.diff(np.append(at, len(tokens))))], minlength=len(ids))
-        tokens, owner = tokens[at], np.where(many, np.uint16(65535), owner[at])
-        bucket = ((tokens >> np.uint64(32)).astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
+        at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        size = np.diff(np.append(at, len(tokens)))
+        credit = np.bincount(owner[np.repeat(size > 1, size)], minlength=len(ids))
+        salt = int(tokens[0] % np.uint64(1 << 20))
+        tokens, owner = tokens[at], np.where(size > 1, np.uint16(65535), owner[at])
+        bucket, low = _low_bits(tokens, buckets)
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = []
         if credit.any():
             have = np.flatnonzero(credit)
-            rows.append((-1 - int(tokens[0] % np.uint64(1 << 20)), b"", credit[have].astype(np.uint32).tobytes(), ids[have].tobytes()))
+            rows.append((-1 - salt, b"", credit[have].astype(np.uint32).tobytes(), pack_ids(ids[have])))
         for b in np.flatnonzero(np.diff(edges)):
-            t, o = tokens[edges[b] : edges[b + 1]], owner[edges[b] : edges[b + 1]]
-            used, o2 = np.unique(o, return_inverse=True)
-            several = len(used) and used[-1] == 65535
-            o2 = np.where(o == 65535, 65535, o2).astype(np.uint16)
-            rows.append((int(b), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), o2.tobytes(), ids[used[: len(used) - several]].tobytes()))
+            o = owner[edges[b] : edges[b + 1]]
+            used, place = np.unique(o, return_inverse=True)
+            several = int(used[-1] == 65535)
+            place = np.where(o == 65535, 65535, place).astype(np.uint16)
+            rows.append((int(b), _squeeze(low[edges[b] : edges[b + 1]]), place.tobytes(), pack_ids(ids[used[: len(used) - several]])))
         return rows
 
     def spread(batches):
@@ -169,52 +218,53 @@ def count_shared(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield send(pack(held, np.array(ids, np.int64)))
 
-    def meet(batches):
+    def by_group(ids: np.ndarray, credits: np.ndarray):
+        group = ab.mix(ids.view(np.uint64)) % np.uint64(groups)
+        order = np.argsort(group, kind="stable")
+        ids, credits, group = ids[order], credits[order], group[order]
+        edges = np.searchsorted(group, np.arange(groups + 1))
+        return [
+            (int(g), ids[edges[g] : edges[g + 1]].tobytes(), credits[edges[g] : edges[g + 1]].astype(np.uint32).tobytes())
+            for g in np.flatnonzero(np.diff(edges))
+        ]
+
+    def meet(table: pa.Table) -> pa.Table:
         """All rows of a bucket: credits the owners of tokens that came twice."""
-        tokens, owners, base = [], [], 0
-        ids = []
-        for batch in batches:
-            for t, o, i in zip(*(batch.column(c).to_pylist() for c in ("tokens", "owners", "ids"))):
-                own = np.frombuffer(i, np.int64)
-                if not t:
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.frombuffer(o, np.uint32).astype(np.int64))], ["doc_id", "shared"])
-                    continue
-                o = np.frombuffer(o, np.uint16).astype(np.int64)
-                tokens.append(np.frombuffer(t, np.uint32))
-                owners.append(np.where(o == 65535, -1, o + base))
-                ids.append(own)
-                base += len(own)
-        if not tokens:
-            return
-        token, owner, id_of = np.concatenate(tokens), np.concatenate(owners), np.concatenate(ids)
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        same = token[1:] == token[:-1]
-        shared = np.zeros(len(token), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        credit = np.bincount(owner[shared & (owner >= 0)], minlength=len(id_of))
-        have = np.flatnonzero(credit)
-        # An id may stand several times; the sum is taken later.
-        yield pa.RecordBatch.from_arrays([pa.array(id_of[have]), pa.array(credit[have].astype(np.int64))], ["doc_id", "shared"])
-
-    def meet_group(table_batches):
-        yield from meet(table_batches)
-
-    blobs = docs.mapInArrow(spread, "bucket int, tokens binary, owners binary, ids binary")
-    met = blobs.groupBy("bucket").applyInArrow(_group(meet_group), "doc_id long, shared long")
-    return met.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-
-
-def _group(fn):
-    """A function over a group's table, from one over its batches."""
-    import pyarrow as pa
+        tokens, owners, ids, base, out = [], [], [], 0, []
+        for t, o, i in zip(*(table.column(c).to_pylist() for c in names[1:])):
+            own = unpack_ids(i)
+            if not t:
+                out += by_group(own, np.frombuffer(o, np.uint32))
+                continue
+            o = np.frombuffer(o, np.uint16).astype(np.int64)
+            tokens.append(_unsqueeze(t))
+            owners.append(np.where(o == 65535, -1, o + base))
+            ids.append(own)
+            base += len(own)
+        if tokens:
+            token, owner, id_of = np.concatenate(tokens), np.concatenate(owners), np.concatenate(ids)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            same = token[1:] == token[:-1]
+            shared = np.zeros(len(token), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            credit = np.bincount(owner[shared & (owner >= 0)], minlength=len(id_of))
+            have = np.flatnonzero(credit)
+            out += by_group(id_of[have], credit[have])
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["part", "ids", "credits"])
 
-    def run(table: pa.Table) -> pa.Table:
-        out = list(fn(table.to_batches()))
-        return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "shared": pa.array([], pa.int64())})
+    def total(table: pa.Table) -> pa.Table:
+        """All credits of a group of documents, summed by id."""
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        credits = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("credits").to_pylist()])
+        each, place = np.unique(ids, return_inverse=True)
+        return pa.table([pa.array(each), pa.array(np.bincount(place, weights=credits).astype(np.int64))], ["doc_id", "shared"])
 
-    return run
+    blobs = docs.mapInArrow(spread, "bucket int, tokens binary, owners binary, ids binary")
+    met = blobs.groupBy("bucket").applyInArrow(meet, "part int, ids binary, credits binary")
+    return met.groupBy("part").applyInArrow(total, "doc_id long, shared long")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -332,8 +382,9 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(sign_documents(docs))
-    total = signed.agg(F.sum("n").alias("t")).first()["t"] or 0
-    shared = count_shared(docs.where("doc_id is not null"), max(8, int(total // BUCKET) + 1))
+    size = signed.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).first()
+    tokens = size["tokens"] or 0
+    shared = count_shared(docs.where("doc_id is not null"), int(tokens // BUCKET) + 1, size["docs"] // DOCS + 1)
     # A document without an id cannot be credited: it stays a survivor.
     enough = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
     survivors = signed.join(shared, "doc_id", "left").where((F.col("n") > 0) & (F.col("doc_id").isNull() | (F.col("shared") >= enough)))
@@ -341,34 +392,40 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialize(
         survivors.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("cid", F.xxhash64(*key))
     )
-    reps = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = sign_documents(reps, with_tokens=True).join(classes, key).select("cid", "n", "copies", "tokens").dropDuplicates(["cid"])
+    few = classes.count() <= FEW_IDS
+    small = F.broadcast if few else lambda df: df
+    reps = docs.join(small(classes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sets = sign_documents(reps, with_tokens=True).join(small(classes), key).select("cid", "n", "copies", "tokens")
+    if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
+        sets = sets.dropDuplicates(["cid"])
     sets = materialize(sets)
 
-    entries = sets.select("cid", "n", F.explode("tokens").alias("token"))
-    df = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    ranked = (
-        entries.join(df, "token")
-        .groupBy("cid", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
-        .select("cid", F.expr(f"slice(rare, 1, cast(greatest(n - floor((n * {NUM} + {DEN - 1}) / {DEN}) + 1 - (n - size(rare)), 0) as int))").alias("rare"))
+    # Tokens are sorted as unsigned numbers, so the first ones are the first by hash.
+    least_n = f"cast(floor((n * {NUM} + {DEN - 1}) / {DEN}) as int)"
+    first_n = f"cast(n as int) - {least_n} + cast(floor((n + 4) / 5) as int)"
+    prefix_n = f"({first_n}) - cast(floor(({least_n} + 4) / 5) as int) + 1"
+    rows = sets.select("cid", F.explode(F.expr(f"slice(tokens, 1, {first_n})")).alias("token"))
+    df = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    ranked = rows.join(df, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
+    ranked = ranked.join(sets.select("cid", F.expr(first_n).alias("first_n"), F.expr(prefix_n).alias("prefix_n")), "cid")
+    prefix = materialize(
+        ranked.select("cid", F.explode(F.expr("slice(rare, 1, greatest(prefix_n - (first_n - size(rare)), 0)).token")).alias("token"))
     )
-    prefix = materialize(ranked.select("cid", F.explode("rare.token").alias("token")))
     first = prefix.groupBy("token").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    reach = materialize(components(prefix.join(first, "token").select(F.col("cid").alias("a"), "b")))
-
-    placed = sets.join(reach, F.col("cid") == F.col("node")).drop("node")
-    sizes = materialize(reach.join(sets.select("cid", "n"), F.col("cid") == F.col("node")).groupBy("root").agg(F.sum("n").alias("tokens_in")))
-    small = sizes.where(F.col("tokens_in") <= BLOCK).agg(F.sum("tokens_in").alias("t")).first()["t"] or 0
-    bins = max(spark.sparkContext.defaultParallelism, int(small // BLOCK) + 1)
-    placed = placed.join(sizes, "root").withColumn("parts", F.ceil(F.col("tokens_in") / BLOCK).cast("int"))
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    alone = placed.where("parts = 1").withColumn("block", F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins)))).withColumn("across", F.lit(False))
-    large = placed.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    reach = components(prefix.join(first, "token").select(F.col("cid").alias("a"), "b"))
+
+    sized = reach.join(sets.select("cid", "n"), F.col("cid") == F.col("node"))
+    in_root = sized.groupBy("root").agg(F.sum("n").alias("tokens_in"))
+    dealt = materialize(sized.join(in_root, "root").select("cid", "root", F.ceil(F.col("tokens_in") / BLOCK).cast("int").alias("parts"), "n"))
+    light = dealt.where("parts = 1").agg(F.sum("n").alias("t")).first()["t"] or 0
+    bins = max(spark.sparkContext.defaultParallelism, int(light // BLOCK) + 1)
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    alone = dealt.where("parts = 1").withColumn("block", F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins)))).withColumn("across", F.lit(False))
+    large = dealt.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     large = large.withColumn("block", F.concat_ws("-", F.col("root"), F.least("side", "other"), F.greatest("side", "other"))).withColumn("across", F.col("side") != F.col("other"))
-    pairs_of = large.withColumn("across", F.least("side", "other") != F.greatest("side", "other")).drop("other")
-    fields = ["block", "cid", "copies", "tokens", "side", "across"]
-    found = materialize(block_links(alone.select(*fields).unionByName(pairs_of.select(*fields))))
+    fields = ["cid", "block", "side", "across"]
+    placed = sets.join(small(alone.select(*fields).unionByName(large.select(*fields))), "cid").select("block", "cid", "copies", "tokens", "side", "across")
+    found = materialize(block_links(placed))
 
     linked = components(found.select(F.col("cid").alias("a"), F.col("near").alias("b")))
     root_of = classes.join(linked, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
