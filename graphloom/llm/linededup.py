@@ -1,6 +1,6 @@
 """Line dedup over a corpus: a deletion-neighbourhood join on words.
 
-A line is its words (A-Z lower-cased, white space collapsed).  Lines of
+A line is its words (lower-cased, white space collapsed).  Lines of
 ``LEAST_WORDS`` words or more are deduplicated: of equal lines the earliest
 occurrence stays, and a line of ``NEAR_WORDS`` words or more also goes when an
 earlier line lies within one edit (a word put in, taken out or replaced).
@@ -35,31 +35,33 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import materialize, whole_text
 
 LEAST_WORDS, NEAR_WORDS = 5, 10
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lines whose places may be broadcast (about 60 bytes each); beyond, a shuffled join.
+FEW_LINES = 500_000
 
 
-def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, UPPER, LOWER), r"[\x20\x09-\x0D]+"), "")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, row, line_no, s``: a row a line, its words joined by single blanks."""
+    text = whole_text(text_col)
+    blanks = r" {2,}|\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*"
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.lower(F.regexp_replace(text, blanks, " ")).alias("plain"))
+    lines = keyed.select("id", "row", F.posexplode(F.split("plain", "\n")).alias("line_no", "line")).withColumn("s", F.trim("line")).drop("line")
+    return lines.where(_blanks(F.col("s")) >= LEAST_WORDS - 1)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, line_no, words``: a row a line."""
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    keyed = keyed.withColumn("row", F.xxhash64("id", "text"))
-    lines = keyed.select("id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("id", "row", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") >= LEAST_WORDS)
+def _blanks(s: Column) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(7), "words")})
+    return lines.withColumns({"h1": F.xxhash64("s"), "h2": F.xxhash64(F.lit(7), "s")})
 
 
-def _halves(words: Column) -> Column:
+def _halves(s: Column) -> Column:
     """Hashes of the first and last floor(n/2) and ceil(n/2) words."""
-    n = F.size(words)
+    n = _blanks(s) + 1
     low, high = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
-    first = lambda k: F.xxhash64(F.lit("first"), k, F.slice(words, F.lit(1), k))
-    last = lambda k: F.xxhash64(F.lit("last"), k, F.slice(words, n - k + 1, k))
+    first = lambda k: F.xxhash64(F.lit("first"), k, F.call_function("substring_index", s, F.lit(" "), k))
+    last = lambda k: F.xxhash64(F.lit("last"), k, F.call_function("substring_index", s, F.lit(" "), -k))
     return F.when(n >= NEAR_WORDS, F.array_distinct(F.array(first(low), first(high), last(low), last(high)))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -114,8 +116,10 @@ def _near(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> Data
     places = lines.join(candidates, ["h1", "h2"], "left_semi").select(
         "h1", "h2", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")
     )
-    text = _rows(docs, id_col, text_col).drop("id")
-    lines2 = materialize(text.join(places, ["row", "line_no"]).dropDuplicates(["h1", "h2"]).withColumn("at", F.struct("id", "row", "line_no")))
+    places = materialize(places)
+    small = F.broadcast if places.count() <= FEW_LINES else lambda df: df
+    found = _rows(docs, id_col, text_col).drop("id").join(small(places), ["row", "line_no"]).dropDuplicates(["h1", "h2"])
+    lines2 = materialize(found.select("h1", "h2", F.struct("id", "row", "line_no").alias("at"), F.split("s", " ").alias("words")))
 
     emitted = _variants(lines2)
     of = lambda role: F.min(F.when(F.col("role") == role, F.struct("at", "h1", "h2"))).alias(f"first_{role}")
@@ -132,7 +136,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``row, removed``: per document (its hash) an array of (line_no, near)."""
     hashed = _hashed(_rows(docs, id_col, text_col))
     lines = materialize(
-        hashed.withColumn("halves", _halves(F.col("words")))
+        hashed.withColumn("halves", _halves(F.col("s")))
         .groupBy("h1", "h2")
         .agg(F.min(F.struct(F.struct("id", "row", "line_no").alias("first"), "halves")).alias("m"), F.count(F.lit(1)).alias("copies"))
         .select("h1", "h2", "copies", "m.first", "m.halves")
@@ -185,7 +189,7 @@ WITH l AS (
   SELECT doc_id, n_lines, unnest(l) AS line, unnest(range(n_lines)) AS line_no
   FROM (SELECT doc_id, l, len(l) AS n_lines FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
 ), w AS (
-  SELECT doc_id, line_no, list_filter(string_split_regex(translate(line, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM l
+  SELECT doc_id, line_no, list_filter(string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM l
 ), k AS (
   SELECT doc_id, line_no, words, array_to_string(words, ' ') AS s, len(words) AS n FROM w WHERE len(words) >= {LEAST_WORDS}
 ), d AS (
