@@ -35,34 +35,36 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import materialize, whole_text
 
 LEAST_WORDS, NEAR_WORDS = 5, 10
-#: Lines whose places may be broadcast (about 60 bytes each); beyond, a shuffled join.
-FEW_LINES = 500_000
+#: Documents whose candidate lines may be broadcast; beyond, a shuffled join.
+FEW_ROWS = 100_000
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, line_no, s``: a row a line, its words joined by single blanks."""
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, row, plain``: the text lower-cased, blanks within a line collapsed."""
     text = whole_text(text_col)
     blanks = r" {2,}|\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*"
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.lower(F.regexp_replace(text, blanks, " ")).alias("plain"))
-    lines = keyed.select("id", "row", F.posexplode(F.split("plain", "\n")).alias("line_no", "line")).withColumn("s", F.trim("line")).drop("line")
-    return lines.where(_blanks(F.col("s")) >= LEAST_WORDS - 1)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.lower(F.regexp_replace(text, blanks, " ")).alias("plain"))
 
 
-def _blanks(s: Column) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, row, line_no, s, n``: a row a line, its n words joined by single blanks."""
+    keyed = _plain(docs, id_col, text_col)
+    lines = keyed.select("id", "row", F.posexplode(F.split("plain", "\n")).alias("line_no", "line")).withColumn("s", F.trim("line")).drop("line")
+    blanks_in = F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit("")))
+    return lines.withColumn("n", F.explode(F.array(blanks_in + 1))).where(F.col("n") >= LEAST_WORDS)  # counted once
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"h1": F.xxhash64("s"), "h2": F.xxhash64(F.lit(7), "s")})
+def _halves(s: Column, n: Column) -> Column:
+    """(hash, whether it is a first half) of the first and last floor(n/2) and ceil(n/2) words."""
+    low, high = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
 
+    def half(k: Column, first: bool) -> Column:
+        part = F.call_function("substring_index", s, F.lit(" "), k if first else -k)
+        return F.struct(F.xxhash64(F.lit(first), k, part).alias("half"), F.lit(first).alias("head"))
 
-def _halves(s: Column) -> Column:
-    """Hashes of the first and last floor(n/2) and ceil(n/2) words."""
-    n = _blanks(s) + 1
-    low, high = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
-    first = lambda k: F.xxhash64(F.lit("first"), k, F.call_function("substring_index", s, F.lit(" "), k))
-    last = lambda k: F.xxhash64(F.lit("last"), k, F.call_function("substring_index", s, F.lit(" "), -k))
-    return F.when(n >= NEAR_WORDS, F.array_distinct(F.array(first(low), first(high), last(low), last(high)))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<struct<half:bigint,head:boolean>>")
+    both = lambda *k: F.array(*[half(x, f) for x in k for f in (True, False)])
+    return F.when(n < NEAR_WORDS, none).when(n % 2 == 0, both(low)).otherwise(both(low, high))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -88,7 +90,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     ``hole``: the word at i left open; ``less``: taken out; ``gap``: the place
     before word i, where a longer line may have one more word.
     """
-    words = lines.select("h1", "h2", "at", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    words = lines.select("h1", "h2", "at", "heads", "tails", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     line = Window.partitionBy("h1", "h2")
     before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     after = line.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
@@ -105,22 +107,29 @@ def _variants(lines: DataFrame) -> DataFrame:
         row("gap", F.lit("gap"), n, i, F.col("p"), F.col("q").bitwiseXOR(F.col("z"))),
         F.when(i == n - 1, row("gap", F.lit("gap"), n, n, F.col("p").bitwiseXOR(F.col("a")), none)),
     ]
+    # With a first half in common the edit lies behind it, with a last half before it.
+    middle = F.floor(n / 2)
+    hashed = hashed.where((F.col("heads") & (i >= middle - 1)) | (F.col("tails") & (i <= n - middle)))
     return hashed.select("h1", "h2", "at", F.explode(F.array_compact(F.array(*made))).alias("v")).select("h1", "h2", "at", "v.*")
 
 
 def _near(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``h1, h2`` of the lines that an earlier line is within one edit of."""
-    halves = lines.where(F.size("halves") > 0).select("h1", "h2", F.explode("halves").alias("half"))
+    halves = lines.where(F.size("halves") > 0).select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.*")
     common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("half")
-    candidates = halves.join(common, "half", "left_semi").select("h1", "h2").distinct()
-    places = lines.join(candidates, ["h1", "h2"], "left_semi").select(
-        "h1", "h2", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")
+    candidates = halves.join(common, "half", "left_semi").groupBy("h1", "h2").agg(F.max("head").alias("heads"), F.min("head").alias("no_tail"))
+    places = materialize(
+        lines.join(candidates, ["h1", "h2"])
+        .groupBy(F.col("first.row").alias("row"))
+        .agg(F.collect_set(F.struct("h1", "h2", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), "heads", (~F.col("no_tail")).alias("tails"))).alias("take"))
+    )
+    small = F.broadcast if places.count() <= FEW_ROWS else lambda df: df
+    text = _plain(docs, id_col, text_col).join(small(places), "row")
+    texts = text.select("row", F.explode(F.arrays_zip("take", F.transform("take", lambda x: F.get(F.split("plain", "\n"), x["line_no"])).alias("line"))).alias("x"))
+    lines2 = materialize(
+        texts.select("x.take.h1", "x.take.h2", F.struct("x.take.id", "row", "x.take.line_no").alias("at"), "x.take.heads", "x.take.tails", F.split(F.trim("x.line"), " ").alias("words"))
+        .dropDuplicates(["h1", "h2"])  # rows that repeat
     )
-    places = materialize(places)
-    small = F.broadcast if places.count() <= FEW_LINES else lambda df: df
-    found = _rows(docs, id_col, text_col).drop("id").join(small(places), ["row", "line_no"]).dropDuplicates(["h1", "h2"])
-    lines2 = materialize(found.select("h1", "h2", F.struct("id", "row", "line_no").alias("at"), F.split("s", " ").alias("words")))
-
     emitted = _variants(lines2)
     of = lambda role: F.min(F.when(F.col("role") == role, F.struct("at", "h1", "h2"))).alias(f"first_{role}")
     keys = materialize(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("k"), of("gap"), of("less"), of("hole")).where("k > 1").drop("k"))
@@ -134,10 +143,12 @@ def _near(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> Data
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, removed``: per document (its hash) an array of (line_no, near)."""
-    hashed = _hashed(_rows(docs, id_col, text_col))
+    hashed = _rows(docs, id_col, text_col).select(
+        "id", "row", "line_no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), _halves(F.col("s"), F.col("n")).alias("halves")
+    )
+    hashed = materialize(hashed)
     lines = materialize(
-        hashed.withColumn("halves", _halves(F.col("s")))
-        .groupBy("h1", "h2")
+        hashed.groupBy("h1", "h2")
         .agg(F.min(F.struct(F.struct("id", "row", "line_no").alias("first"), "halves")).alias("m"), F.count(F.lit(1)).alias("copies"))
         .select("h1", "h2", "copies", "m.first", "m.halves")
     )
