@@ -49,8 +49,23 @@ VIEWS: dict[str, str] = {
     "v_commits": """
         SELECT o_orderkey AS commit_id, o_custkey AS author, o_orderdate AS committed, l_partkey AS file
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
-    "v_lines": """
-        SELECT file_id, line_no, line FROM v_lines_raw""",
+    # Code: a few lines a document, with secrets, sources and sinks placed by its id.
+    "v_code": """
+        SELECT doc_id AS file_id, concat('src/code/f', doc_id, '.ts') AS path, 'typescript' AS language, concat_ws(chr(10),
+            concat('import { db } from ', chr(39), './db', doc_id % 9, chr(39), ';'),
+            CASE WHEN doc_id % 3 = 0 THEN concat('const id', doc_id % 5, ' = req.query.id;') ELSE 'const local = 1;' END,
+            concat('export class Box', doc_id % 11, ' {'),
+            '  load(x: string) {',
+            CASE WHEN doc_id % 4 = 0 THEN concat('    db.run(`SELECT * FROM t WHERE id = $', '{id', doc_id % 5, '}`);') ELSE '    return x;' END,
+            '  }',
+            '}',
+            CASE WHEN doc_id % 5 = 1 THEN 'eval(payload);' WHEN doc_id % 5 = 2 THEN 'node.innerHTML = body;' END,
+            CASE WHEN doc_id % 7 = 0 THEN concat('password = "', md5(CAST(doc_id AS STRING)), '"') END,
+            CASE WHEN doc_id % 7 = 1 THEN concat('key = AKIA', upper(substr(md5(CAST(doc_id AS STRING)), 1, 16)), ' end') END,
+            concat('export function run', doc_id % 13, '(a) {'),
+            concat('  return a && ', doc_id, ';'),
+            '}') AS content
+        FROM documents""",
     # Services: a nation each; what it exports and consumes follows from keys.
     "v_services": "SELECT n_nationkey AS service_id, lower(n_name) AS name, n_regionkey AS region FROM nation",
     "v_exports": """
@@ -60,7 +75,6 @@ VIEWS: dict[str, str] = {
         SELECT c_nationkey AS service_id, concat('https://Gateway.example.com/api/', n_name, '/', CASE c_custkey % 4 WHEN 0 THEN 'LIST' WHEN 1 THEN concat('item', c_custkey % 5) ELSE concat('', c_custkey) END, '/?v=1') AS path
         FROM customer JOIN nation ON n_nationkey = (c_nationkey + c_custkey) % 25""",
 }
-VIEWS.pop("v_lines")
 #: Views that a view reads.
 NEEDS = {"v_edges_doc": ["v_files"]}
 
