@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as sc
+from graphloom.operators.graph import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -96,7 +97,7 @@ def retrieve(files: DataFrame, symbols: DataFrame, edges: DataFrame, hits: DataF
     named = F.exists(want, lambda t: F.contains(F.lower("name"), t))
     symbol = symbols.where(named).select("path", F.lit("symbol").alias("type"), F.lit(5.5 if intent == "feature" else 4.0).alias("score"))
     by_path = files.select("path", F.lit("path").alias("type"), (3.5 * sc.path_score(F.col("path"), want)).alias("score")).where("score > 0")
-    first = keyword.unionByName(symbol).unionByName(by_path)
+    first = cut(keyword.unionByName(symbol).unionByName(by_path))
     keys = first.select("path").distinct()
     heir = F.when(F.col("kind").isin("extends", "implements"), 1.5).otherwise(1.0)
     conf = F.coalesce("confidence", F.lit(0.9))
@@ -104,7 +105,7 @@ def retrieve(files: DataFrame, symbols: DataFrame, edges: DataFrame, hits: DataF
     out = out.select(F.col("dst").alias("path"), F.lit("dependency").alias("type"), (F.lit(1.4 if intent == "feature" else 0.8) * conf * heir).alias("score"))
     back = edges.join(keys.withColumnRenamed("path", "dst"), "dst", "left_semi")
     back = back.select(F.col("src").alias("path"), F.lit("dependency").alias("type"), (F.lit(1.6 if intent == "bug" else 0.6) * conf).alias("score"))
-    reached = first.unionByName(out).unionByName(back)
+    reached = cut(first.unionByName(out).unionByName(back))
     every = reached.select("path").distinct()
     most, step = (4.5, 0.6) if intent == "refactor" else (2.5, 0.3)
     centre = edges.groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("k")).join(every, "path", "left_semi")
