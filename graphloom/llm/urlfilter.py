@@ -6,8 +6,8 @@ level, with aggregations only:
 
 1. segments that look variable (numbers, ids with digits, long slugs) become
    wildcards, and all pages of one generalised path become one counted row;
-2. at every level, a node with many children that are seldom seen has its
-   children replaced by ``*``;
+2. at every level, a node with many children that are seldom seen has these
+   children replaced by ``*`` (children seen often keep their name);
 3. sibling branches whose labelled shares do not differ significantly (a
    two-proportion z test against their siblings) are merged into one template;
 4. a template is rejected when its smoothed purity - labelled bad shares pulled
@@ -31,7 +31,7 @@ from graphloom.llm.common import materialize
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEPTH = 4
-MANY_CHILDREN, SELDOM = 20, 5.0
+MANY_CHILDREN, SELDOM = 20, 5
 LEAST_LABELS, Z = 5, 1.96
 PSEUDO, PURITY = 4.0, 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,7 +63,7 @@ def segment(path: Column, depth: int) -> Column:
 
 
 def grow(paths: DataFrame) -> DataFrame:
-    """Replaces the children of wide nodes by ``*``, from the root down.
+    """Replaces the seldom children of wide nodes by ``*``, from the root down.
 
     ``paths``: a row a host and generalised path, ``host, s1..s4, n, bad, known``.
     Adds ``t1..t4``.
@@ -71,17 +71,13 @@ def grow(paths: DataFrame) -> DataFrame:
     for d in range(1, DEPTH + 1):
         node = ["host", *[f"t{k}" for k in range(1, d)]]
         children = paths.groupBy(*node, f"s{d}").agg(F.sum("n").alias("_n"))
-        wide = (
-            children.where(F.col(f"s{d}") != "")
-            .groupBy(*node)
-            .agg(F.count(F.lit(1)).alias("_kinds"), F.sum("_n").alias("_all"))
-            .where((F.col("_kinds") > MANY_CHILDREN) & (F.col("_all") / F.col("_kinds") < SELDOM))
-            .select(*node, F.lit(True).alias("_wide"))
-        )
+        seldom = children.where((F.col(f"s{d}") != "") & (F.col("_n") < SELDOM)).select(*node, f"s{d}")
+        wide = seldom.groupBy(*node).agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > MANY_CHILDREN).select(*node)
+        wild = seldom.join(wide, node).withColumn("_wild", F.lit(True))
         paths = (
-            paths.join(wide, node, "left")
-            .withColumn(f"t{d}", F.when(F.col("_wide") & (F.col(f"s{d}") != ""), "*").otherwise(F.col(f"s{d}")))
-            .drop("_wide")
+            paths.join(wild, [*node, f"s{d}"], "left")
+            .withColumn(f"t{d}", F.when(F.col("_wild"), "*").otherwise(F.col(f"s{d}")))
+            .drop("_wild")
         )
     return paths
 
