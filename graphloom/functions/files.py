@@ -126,17 +126,20 @@ def is_entry(path: Column) -> Column:
     return path.rlike(ENTRY)
 
 
+def glob_bare(pattern: str) -> str:
+    """The literal text that a loose pattern looks for anywhere in a path.
+
+    The directory form (``**/x/**``) and the middle form (``**/*.m.*``) are
+    special cases of the bare substring test that ends the chain, so the text
+    without stars and outer slashes decides alone.
+    """
+    return re.sub(r"^/+|/+$", "", pattern.replace("\\", "/").lower().replace("*", ""))
+
+
 def glob_match(path: Column, pattern: str) -> Column:
-    """The loose pattern test: directory, file-name middle, or a bare substring."""
-    p, low = pattern.replace("\\", "/").lower(), F.lower(path)
-    tests = []
-    if p.startswith("**/") and p.endswith("/**"):
-        tests += [low.contains(f"/{p[3:-3]}/"), low.startswith(f"{p[3:-3]}/")]
-    if p.startswith("**/*.") and p.endswith(".*"):
-        tests.append(low.contains(f".{p[5:-2]}."))
-    if bare := re.sub(r"^/+|/+$", "", p.replace("*", "")):
-        tests.append(low.contains(bare))
-    return _any(tests)
+    """The loose pattern test: a substring, any case."""
+    bare = glob_bare(pattern)
+    return F.lower(path).contains(bare) if bare else F.lit(False)
 
 
 def default_patterns() -> list[tuple[str, list[str]]]:
@@ -145,9 +148,10 @@ def default_patterns() -> list[tuple[str, list[str]]]:
 
 def layer(path: Column, layers: list[tuple[str, list[str]]] | None = None) -> Column:
     """Name of the first layer with a pattern that fits, or null."""
-    out = F.lit(None).cast("string")
+    out, low = F.lit(None).cast("string"), F.lower(path)
     for name, patterns in reversed(default_patterns() if layers is None else layers):
-        out = F.when(_any([glob_match(path, p) for p in patterns]), name).otherwise(out)
+        bare = [re.escape(x) for x in map(glob_bare, patterns) if x]
+        out = F.when(low.rlike("|".join(bare)) if bare else F.lit(False), name).otherwise(out)
     return out
 
 

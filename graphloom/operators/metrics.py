@@ -99,7 +99,9 @@ def _rule(name: str):
 
 def layer_violations(edges: DataFrame, layers=None, allow=(), disallow=()) -> DataFrame:
     """Edges between layers that a rule forbids: ``src, dst, source_layer, target_layer, type, severity, rule``."""
-    e = edges.withColumns({"source_layer": files.layer(F.col("src"), layers), "target_layer": files.layer(F.col("dst"), layers)})
+    ends = F.struct(files.layer(F.col("src"), layers).alias("s"), files.layer(F.col("dst"), layers).alias("t"))
+    # One row out of a generator: the filters below do not compute the layers again.
+    e = edges.withColumn("ends", F.explode(F.array(ends))).select(*edges.columns, F.col("ends.s").alias("source_layer"), F.col("ends.t").alias("target_layer"))
     e = e.where("source_layer is not null and target_layer is not null and source_layer <> target_layer")
     s, t = F.col("source_layer"), F.col("target_layer")
     key, star, to = F.lower(F.concat_ws(" -> ", s, t)), F.lower(F.concat(s, F.lit(" -> *"))), F.lower(F.concat(F.lit("* -> "), t))

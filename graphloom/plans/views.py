@@ -21,7 +21,7 @@ VIEWS: dict[str, str] = {
                    concat(CASE WHEN doc_id % 29 = 0 THEN concat('x', doc_id, '_main') WHEN doc_id % 31 = 0 THEN concat('f', doc_id, '.test') ELSE concat('f', doc_id) END,
                           CASE doc_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.md' ELSE '.js' END) AS file_name,
                    CASE doc_id % 9 WHEN 0 THEN 'src/controllers' WHEN 1 THEN 'src/services' WHEN 2 THEN 'src/domain' WHEN 3 THEN 'src/infra'
-                     WHEN 4 THEN 'src/shared' WHEN 5 THEN 'packages/auth/lib' WHEN 6 THEN 'packages/billing/lib' WHEN 7 THEN 'tests/unit' ELSE 'dist/bundle' END AS dir
+                     WHEN 4 THEN 'src/shared' WHEN 5 THEN 'packages/auth/lib' WHEN 6 THEN 'tests/unit' WHEN 7 THEN 'packages/billing/lib' ELSE 'dist/bundle' END AS dir
             FROM documents) AS a) AS b""",
     # Dependencies between parts that follow each other in an order.
     "v_edges_full": """
