@@ -374,7 +374,7 @@ def x2_text_functions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sc.truncate(t, 60).alias("short"), sc.tokens(t).alias("tokens"), sc.count_lines(t).alias("n_lines"), sc.fit_budget(t, 10).alias("fit"))
 
 
-@query("""SELECT p_partkey, CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS bytes,
+@query("""SELECT p_partkey, CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(n / 1073741824.0 * 10 + 0.5) / 10) END AS bytes,
     CASE WHEN p_size = 1 THEN 'file' ELSE 'files' END AS word FROM (SELECT *, p_partkey * p_partkey * p_partkey AS n FROM part)""")
 def x3_formats(spark, sf_dir):
     p = table(spark, sf_dir, "part")

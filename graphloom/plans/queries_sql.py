@@ -25,11 +25,11 @@ STATEMENTS = {
     "sql_agg_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "sql_agg_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "sql_agg_grouping_sets": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
-    "sql_window_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders",
+    "sql_window_rank": "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS d, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS n FROM orders",
     "sql_window_lag": "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events",
     "sql_window_rows_frame": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving FROM events",
     "sql_window_range_frame": "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS near FROM lineitem",
-    "sql_window_ntile": "SELECT p_partkey, ntile(4) OVER (ORDER BY p_retailprice, p_partkey) AS quarter FROM part",
+    "sql_window_ntile": "SELECT p_partkey, CAST(ntile(4) OVER (ORDER BY p_retailprice, p_partkey) AS BIGINT) AS quarter FROM part",
     "sql_set_union": "SELECT n_nationkey AS k FROM nation UNION SELECT c_nationkey FROM customer",
     "sql_set_union_all": "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer",
     "sql_set_intersect": "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 0",
@@ -40,8 +40,8 @@ STATEMENTS = {
     "sql_like": "SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_brand NOT LIKE '%3'",
     "sql_in_between": "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice BETWEEN 100000 AND 150000",
     "sql_case": "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 10 THEN 'mid' ELSE 'low' END AS size FROM lineitem",
-    "sql_strings": "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, length(n_name) AS n, substr(n_name, 2, 3) AS s, replace(n_name, 'A', '_') AS r, concat(n_name, '!') AS c, trim(concat(' ', n_name)) AS t FROM nation",
-    "sql_dates": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start FROM orders",
+    "sql_strings": "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, CAST(length(n_name) AS BIGINT) AS n, substr(n_name, 2, 3) AS s, replace(n_name, 'A', '_') AS r, concat(n_name, '!') AS c, trim(concat(' ', n_name)) AS t FROM nation",
+    "sql_dates": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start FROM orders",
     "sql_math": "SELECT s_suppkey, abs(s_acctbal) AS a, round(s_acctbal, 1) AS r, CAST(floor(s_acctbal) AS BIGINT) AS f, CAST(ceil(s_acctbal) AS BIGINT) AS c, round(sqrt(abs(s_acctbal)), 6) AS q, round(ln(1 + abs(s_acctbal)), 6) AS l FROM supplier",
     "sql_nulls": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s FROM customer WHERE c_name IS NOT NULL",
 }
