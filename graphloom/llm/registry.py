@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bestfit, decontam, linededup, ngramjoin, pii, quality, secrets, sharding, toxicity, urlfilter
+from graphloom.llm import bestfit, decontam, linededup, ngramjoin, oracles, pii, quality, secrets, sharding, toxicity, urlfilter
 from graphloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_line_dedup"] = linededup.ORACLE
+ORACLES["op7_quality_rules"] = oracles.QUALITY
+ORACLES["op8_decontamination"] = oracles.DECONTAMINATION
+ORACLES["op9_ngram_join"] = oracles.NGRAM_JOIN
 
 
 @query
