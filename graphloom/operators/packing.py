@@ -142,10 +142,17 @@ def order_rules(rules: DataFrame, task: str) -> DataFrame:
     return rules.withColumn("matches", hit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("matches"), F.desc("priority"), "rule_id")))
 
 
-#: Export format -> layout (rich markdown, rules and fenced files, comments).
-FORMATS = {
-    "markdown": "rich", "json": "json", "claude": "plain", "cursor": "plain", "copilot": "plain", "windsurf": "plain", "aider": "comment", "cline": "plain",
-}
+#: Export target -> layout (rich markdown, comments, or rules and fenced files for all others).
+LAYOUTS = {"markdown": "rich", "json": "json", "codex": "comment"}
+TARGETS = (
+    "markdown claude cursor copilot gemini agents antigravity codex aider windsurf cline trae deepseek qwen lingma comate codegeex kimi grok replit devin "
+    "opencode vellum openhands continue roo augment amazonq json"
+).split()
+
+
+def layout_of(target: str) -> str:
+    """The layout of an export target; an unknown target gets rich markdown."""
+    return LAYOUTS.get(target, "plain" if target in TARGETS else "rich")
 
 
 def export(pack_files: DataFrame, rules: list[str], task: str, layout: str = "plain") -> DataFrame:

@@ -252,7 +252,7 @@ def n13_service_graph(spark, sf_dir):
 @query()
 def n16_rule_issues(spark, sf_dir):
     """J17, J18, N16 over a few made rules."""
-    rows = [("a", "Use tab indent"), ("b", "Use space indent and single quote strings"), ("c", " Use tab indent "), ("d", ""), ("e", "double quote strings")]
+    rows = [("a", "Use tabs"), ("b", "Use spaces and single quotes"), ("c", " Use tabs "), ("d", ""), ("e", "double quotes")]
     return scan.rule_issues(spark.createDataFrame(rows, "rule_id string, content string"))
 
 

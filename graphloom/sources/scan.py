@@ -17,17 +17,27 @@ IGNORE = (
     "node_modules .git dist build out .next .nuxt .svelte-kit coverage .cache .tmp __pycache__ .venv venv target vendor "
     ".idea .vscode .DS_Store Thumbs.db *.min.js *.min.css *.map *.lock package-lock.json pnpm-lock.yaml yarn.lock"
 ).split()
-#: Package -> framework.
+#: Package -> framework, in order.
 FRAMEWORKS = {
-    "react": "react", "next": "next.js", "vue": "vue", "@angular/core": "angular", "express": "express", "@nestjs/core": "nestjs",
-    "svelte": "svelte", "fastify": "fastify",
+    "next": "next", "react": "react", "vue": "vue", "svelte": "svelte", "@sveltejs/kit": "svelte", "@angular/core": "angular",
+    "express": "express", "fastify": "fastify", "@nestjs/core": "nestjs",
 }
-#: Lock file -> package manager, in order.
-MANAGERS = [("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.lockb", "bun"), ("package-lock.json", "npm")]
-#: Rule file -> (source, priority).
+#: Root file -> package manager, in order; files that mark a monorepo.
+MANAGERS = [
+    ("pnpm-lock.yaml", "pnpm"), ("pnpm-workspace.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.lockb", "bun"), ("package-lock.json", "npm"), ("package.json", "npm"),
+]
+MONOREPO = ("pnpm-workspace.yaml", "lerna.json", "nx.json")
+#: Rule file -> source; rule directory -> source; source -> priority (5 for others).
 RULE_FILES = {
-    "AGENTS.md": ("agents", 10), "CLAUDE.md": ("claude", 9), ".cursorrules": ("cursor", 8), ".windsurfrules": ("windsurf", 7),
-    ".github/copilot-instructions.md": ("copilot", 7), "CONTRIBUTING.md": ("contributing", 3),
+    "AGENTS.md": "agents.md", "CLAUDE.md": "claude.md", "GEMINI.md": "gemini.md", "ANTIGRAVITY.md": "custom", "DEEPSEEK.md": "deepseek", "QWEN.md": "qwen",
+    "KIMI.md": "kimi", "GROK.md": "grok", "DEVIN.md": "devin", "OPENHANDS.md": "openhands", "REPLIT.md": "replit", "AMAZONQ.md": "amazonq",
+    ".github/copilot-instructions.md": "copilot", ".cursorrules": "cursor", ".windsurfrules": "custom", ".clinerules": "custom", ".traerules": "trae",
+    ".lingmarules": "lingma", ".comaterules": "comate", ".codegeexrules": "codegeex", ".roorules": "roo", ".augmentrules": "augment", ".continuerc.json": "continue",
+}
+RULE_FOLDERS = {".cursor/rules": "cursor", ".github/instructions": "copilot", ".continue/rules": "continue", ".trae/rules": "trae"}
+RULE_PRIORITY = {
+    "agents.md": 10, "claude.md": 8, "gemini.md": 8, "cursor": 6, "copilot": 6, "trae": 7, "deepseek": 8, "qwen": 7, "lingma": 7, "comate": 6, "codegeex": 6,
+    "kimi": 7, "grok": 7, "replit": 6, "devin": 8, "openhands": 7, "continue": 6, "roo": 7, "augment": 6, "amazonq": 6,
 }
 LARGE_RULE = 10_000
 
@@ -102,8 +112,8 @@ def project(files: DataFrame) -> DataFrame:
     deps = F.array_union(keys(F.col("p.dependencies")), keys(F.col("p.devDependencies")))
     return one.select(
         manager.alias("package_manager"),
-        F.array_sort(F.array_compact(F.transform(deps, lambda d: F.try_element_at(known, d)))).alias("frameworks"),
-        (F.array_contains("names", F.lit("pnpm-workspace.yaml")) | F.array_contains("names", F.lit("turbo.json")) | F.col("p.workspaces").isNotNull()).alias("is_monorepo"),
+        F.array_sort(F.array_distinct(F.array_compact(F.transform(deps, lambda d: F.try_element_at(known, d))))).alias("frameworks"),
+        (F.arrays_overlap("names", F.array(*[F.lit(x) for x in MONOREPO])) | F.col("p.workspaces").isNotNull()).alias("is_monorepo"),
     )
 
 
@@ -146,38 +156,60 @@ def changed_files(spark: SparkSession, repository: str, base: str, head: str = "
 
 
 def rule_files(files: DataFrame) -> DataFrame:
-    """``rule_id, path, source, priority, content``: files that hold rules for agents."""
-    source = F.lit(None).cast("struct<source:string,priority:bigint>")
-    for path, (name, priority) in RULE_FILES.items():
-        source = F.when(F.col("path") == path, F.struct(F.lit(name).alias("source"), F.lit(priority).cast("long").alias("priority"))).otherwise(source)
-    hit = files.withColumn("s", source).where("s is not null")
-    return hit.select(F.substring(F.sha2("path", 256), 1, 12).alias("rule_id"), "path", "s.source", "s.priority", "content")
-
+    """``rule_id, path, source, scope, priority, content``: files that hold rules for agents.
 
-#: Kind of conflict -> (one way, the other way).
-CONFLICTS = [("indent", "tab", "space"), ("quotes", "single quote", "double quote"), ("semicolons", "no semicolon", "semicolon")]
+    Fixed root files are global; files below a rule directory have the scope
+    ``path``, which ranks two higher.
+    """
+    source, scope = F.lit(None).cast("string"), F.lit("global")
+    for folder, name in RULE_FOLDERS.items():
+        inside = F.col("path").startswith(folder + "/")
+        source, scope = F.when(inside, name).otherwise(source), F.when(inside, "path").otherwise(scope)
+    for path, name in RULE_FILES.items():
+        source = F.when(F.col("path") == path, name).otherwise(source)
+    rank = F.create_map(*[F.lit(x) for pair in RULE_PRIORITY.items() for x in pair])
+    hit = files.withColumns({"source": source, "scope": scope}).where("source is not null")
+    priority = F.coalesce(F.try_element_at(rank, F.col("source")), F.lit(5)) + F.when(F.col("scope") == "path", 2).otherwise(0)
+    return hit.select(F.substring(F.sha2("path", 256), 1, 12).alias("rule_id"), "path", "source", "scope", priority.cast("long").alias("priority"), "content")
+
+
+#: Kind of conflict -> phrases of one way, phrases of the other; in order.
+CONFLICTS = [
+    ("indentation", ("use tabs", "indent with tabs"), ("use spaces", "use 2 spaces", "use 4 spaces")),
+    ("quote style", ("single quote", "use '"), ("double quote", 'use "')),
+    ("semicolons", ("no semicolon", "no-semi"), ("use semicolon", "always use semi")),
+]
 
 
 def rule_issues(rules: DataFrame) -> DataFrame:
-    """``rule_id, other, issue``: empty, large and duplicate rules, and conflicting pairs.
+    """``rule_id, other, issue, prefer``: empty, large and duplicate rules, and conflicting pairs.
 
-    Conflicts join rules on opposite flags of one kind, never all with all; a
-    pair's first kind counts.
+    Conflicts join rules on opposite sides of one kind, never all with all; a
+    pair's first kind counts, and the rule of higher priority is preferred (the
+    first where they tie).
     """
-    low = F.lower("content")
-    empty = rules.where(F.trim("content") == "").select("rule_id", F.lit(None).cast("string").alias("other"), F.lit("empty").alias("issue"))
-    large = rules.where(F.length("content") > LARGE_RULE).select("rule_id", F.lit(None).cast("string").alias("other"), F.lit("large").alias("issue"))
+    rules = rules if "priority" in rules.columns else rules.withColumn("priority", F.lit(0))
+    low, none = F.lower("content"), F.lit(None).cast("string")
+    plain = lambda df, other, issue: df.select("rule_id", other.alias("other"), F.lit(issue).alias("issue"), none.alias("prefer"))
+    empty = plain(rules.where(F.trim("content") == ""), none, "empty")
+    large = plain(rules.where(F.length("content") > LARGE_RULE), none, "large")
     first = rules.where(F.trim("content") != "").groupBy(F.trim("content").alias("t")).agg(F.min("rule_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    same = rules.join(first, F.trim("content") == F.col("t")).where("rule_id <> first").select("rule_id", F.col("first").alias("other"), F.lit("duplicate").alias("issue"))
-    sides = []
-    for k, (kind, a, b) in enumerate(CONFLICTS):
-        has_a = low.contains(a)
-        has_b = F.regexp_replace(low, a, "").contains(b) if b in a else low.contains(b)
-        sides.append(F.when(has_a & ~has_b, F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(0).alias("side"))).when(has_b & ~has_a, F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(1).alias("side"))))
-    flags = rules.select("rule_id", F.explode(F.array_compact(F.array(*sides))).alias("f")).select("rule_id", "f.*")
-    other = flags.select(F.col("rule_id").alias("other"), "k", F.col("side").alias("other_side"))
-    pairs = flags.join(other, "k").where("side <> other_side and rule_id < other").groupBy("rule_id", "other").agg(F.min_by("kind", "k").alias("kind"))
-    return empty.unionByName(large).unionByName(same).unionByName(pairs.select("rule_id", "other", F.concat(F.lit("conflict: "), "kind").alias("issue")))
+    same = plain(rules.join(first, F.trim("content") == F.col("t")).where("rule_id <> first"), F.col("first"), "duplicate")
+
+    def says(phrases) -> Column:
+        out = F.lit(False)
+        for p in phrases:
+            out = out | low.contains(p)
+        return out
+
+    side = lambda k, kind, which, test: F.when(test, F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(which).alias("side")))
+    sides = [side(k, kind, which, says(p)) for k, (kind, a, b) in enumerate(CONFLICTS) for which, p in enumerate((a, b))]
+    flags = rules.select("rule_id", "priority", F.explode(F.array_compact(F.array(*sides))).alias("f")).select("rule_id", "priority", "f.*")
+    other = flags.select(F.col("rule_id").alias("other"), "k", F.col("side").alias("other_side"), F.col("priority").alias("other_priority"))
+    pairs = flags.join(other, "k").where("side <> other_side and rule_id < other")
+    prefer = F.when(F.col("priority") >= F.col("other_priority"), F.col("rule_id")).otherwise(F.col("other"))
+    pairs = pairs.withColumn("prefer", prefer).groupBy("rule_id", "other").agg(F.min_by("kind", "k").alias("kind"), F.first("prefer").alias("prefer"))
+    return empty.unionByName(large).unionByName(same).unionByName(pairs.select("rule_id", "other", F.concat(F.lit("conflict: "), "kind").alias("issue"), "prefer"))
 
 
 def read_config(path: str, defaults: dict) -> dict:

@@ -21,7 +21,7 @@ def test_tools(spark):
     assert p.get_context("fix login service", 500).where("path = 'src/service.ts'").count() == 1
     assert {(r.path, r.score) for r in p.pr_diff(["src/util.ts"]).collect()} == {("src/util.ts", 1.0), ("src/service.ts", 0.7)}
     assert p.graph_query("MATCH (a:File)-[:IMPORT]->(b:File) WHERE b.name CONTAINS 'util' RETURN a.id").first()[0] == "src/service.ts"
-    assert p.sql_query("SELECT count(*) AS n FROM files").first().n == 5 and p.get_rules().first().source == "agents"
+    assert p.sql_query("SELECT count(*) AS n FROM files").first().n == 5 and p.get_rules().first().source == "agents.md"
     assert [r.dst for r in p.trace_execution_path("src/app.ts", "src/util.ts").orderBy("step").collect()] == ["src/service.ts", "src/util.ts"]
     assert p.find_entry_points("src/util.ts").where("node = 'src/app.ts'").first().is_root
     assert p.calculate_change_surface(["src/util.ts"]).first().direct == 1 and p.complexity_report(1).first().name == "login"

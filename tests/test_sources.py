@@ -63,9 +63,14 @@ def test_git(spark, tmp_path):
 
 
 def test_rules_and_config(spark, tmp_path):
-    r = spark.createDataFrame([("a", "Use tab indent"), ("b", "space indent"), ("c", "Use tab indent "), ("d", " ")], "rule_id string, content string")
-    got = {(x.rule_id, x.other, x.issue) for x in scan.rule_issues(r).collect()}
-    assert got == {("d", None, "empty"), ("c", "a", "duplicate"), ("a", "b", "conflict: indent"), ("b", "c", "conflict: indent")}
+    r = spark.createDataFrame([("a", "Use tabs", 3), ("b", "use 2 spaces, single quotes", 9), ("c", "Use tabs ", 9), ("d", " ", 1), ("e", "double quotes", 1)], "rule_id string, content string, priority int")
+    got = {(x.rule_id, x.other, x.issue, x.prefer) for x in scan.rule_issues(r).collect()}
+    assert got == {
+        ("d", None, "empty", None), ("c", "a", "duplicate", None), ("a", "b", "conflict: indentation", "b"), ("b", "c", "conflict: indentation", "b"),
+        ("b", "e", "conflict: quote style", "b"),
+    }
+    f = spark.createDataFrame([("AGENTS.md", "x"), (".cursor/rules/a.md", "y"), ("src/AGENTS.md", "z")], "path string, content string")
+    assert {(x.path, x.source, x.scope, x.priority) for x in scan.rule_files(f).collect()} == {("AGENTS.md", "agents.md", "global", 10), (".cursor/rules/a.md", "cursor", "path", 8)}
     (tmp_path / "c.toml").write_text("[ranking]\nlexical = 1\n")
     assert scan.read_config(str(tmp_path / "c.toml"), {"ranking": {"path": 2}, "limit": 3}) == {"ranking": {"lexical": 1}, "limit": 3}
     assert scan.workspaces("packages:\n  - 'a/*'\n  - b\nother: 1") == ["a/*", "b"]
