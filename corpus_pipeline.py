@@ -35,17 +35,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = materialize(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id"))
     out = docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
     if not repeated.isEmpty():
-        mine = F.col("doc_id").eqNullSafe(F.col("other"))
-        again = repeated.select(F.col("doc_id").alias("other"))
+        mine = F.col("doc_id").eqNullSafe(F.col("cp_other"))
+        again = repeated.select(F.col("doc_id").alias("cp_other"))
         out = out.join(again, mine, "left_anti").unionByName(out.join(again, mine, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out.select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    hits = decontam.find_hits(docs.select(_key().alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
-    found = materialize(hits.where("n_hit > 0").select(F.col("doc_id").alias("key")).distinct())
-    return docs.withColumn("key", _key()).join(found, "key", "left_anti").select(*docs.columns)
+    hits = decontam.find_hits(docs.select(_key().alias("cp_key"), "text"), table(spark, sf_dir, "benchmark"), id_col="cp_key")
+    found = materialize(hits.where("n_hit > 0").select(F.col("doc_id").alias("cp_key")).distinct())
+    return docs.withColumn("cp_key", _key()).join(found, "cp_key", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

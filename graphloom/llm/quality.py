@@ -1,9 +1,9 @@
 """Quality rules: a threshold table compiled into one projection, no user functions.
 
 Defined results: null and empty texts have no words, fail the base rule and are
-not kept; repeated rows are judged alike; extra columns stay (measures carry
-the ``q_`` prefix inside the projection, so a clash cannot arise with the
-documented columns); an empty table gives an empty table.
+not kept; repeated rows are judged alike; extra columns stay, but one that is
+named like a measure or verdict is replaced by it; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
