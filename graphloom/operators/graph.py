@@ -175,6 +175,19 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
     return ranks.select("node", "rank")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Rows numbered from 0 in an order, without gathering them in one task.
+
+    Ranges are sorted on their own; the table of range sizes has a row a
+    partition, and that alone is summed in one place.
+    """
+    parts = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return parts.withColumn("_k", within).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_k")).drop("_part", "_k", "_start")
+
+
 def communities(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """``node, community``: label propagation, both directions, weights summed.
 
@@ -197,8 +210,7 @@ def communities(edges: DataFrame, iterations: int = 10) -> DataFrame:
         if after.where(~F.col("same")).isEmpty():
             break
     heads = labels.groupBy("label").agg(F.min("node").alias("head"))
-    order = Window.orderBy("head")
-    return labels.join(heads.withColumn("community", (F.row_number().over(order) - 1).cast("long")), "label").select("node", "community")
+    return labels.join(numbered(heads, "head", "community"), "label").select("node", "community")
 
 
 def strong_components(edges: DataFrame, depth: int = 50) -> DataFrame:

@@ -41,7 +41,7 @@ def test_pagerank_and_communities(spark):
     assert r["C"] > r["A"] and abs(sum(r.values()) - 1) < 1e-9
     two = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x")])
     c = {x.node: x.community for x in graph.communities(two, 5).collect()}
-    assert c["a"] == c["b"] == c["c"] != c["x"] == c["y"] == c["z"]
+    assert c["a"] == c["b"] == c["c"] != c["x"] == c["y"] == c["z"] and set(c.values()) == {0, 1}
 
 
 def test_cycles(spark):
