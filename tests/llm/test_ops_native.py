@@ -187,3 +187,10 @@ def test_wide_nodes_become_wildcards(spark):
     rows = [(i, f"http://h.com/user/name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)]
     got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).select("template").distinct().collect()
     assert [r.template for r in got] == ["/user/*//"]
+
+
+def test_pii_zero_parts(spark):
+    texts = ["10.0.0.1", "at 0.0.0.0.", "192.168.00.1 and 192.168.0.1", "10.00.1.1 000.0.00.0", "0256.0.0.1 256.0.0.0 0.0.0", "0" * 4000 + ".0.0." + "0" * 4000 + "256"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: tuple(r)[1:6] for r in pii.pii_digest(docs(spark, rows)).collect()}
+    assert got == {i: base_pii(t) for i, t in rows} and [got[i][1] for i in range(6)] == [1, 1, 2, 2, 0, 0]
