@@ -31,7 +31,8 @@ EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 DIGITS = r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: The head of an IBAN alone; its group looks ahead at all that may follow, a word behind it included.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))"
 OCTET = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 IP_VALID = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 
@@ -48,6 +49,13 @@ CONTEXT_WORDS = {
     "card": "(?i)(card|credit|visa|amex|american express|diners|karte|carte|tarjeta)",
     "iban": "(?i)(iban|account|bank|konto|compte|cuenta|bic|swift)",
 }
+#: Lengths of IBANs by country; other countries may have any from 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}
 #: Score without context; context adds 0.3.
 PRIOR = {"card": 0.5, "iban": 0.8}
 SPAN = "struct<start:int,end:int,value:string>"
@@ -111,7 +119,25 @@ def mod97(value: Column) -> Column:
         F.lit(0),
         lambda acc, c: (acc * F.when(F.ascii(c) >= 65, 100).otherwise(10) + number(c)) % 97,
     )
-    return (rest == 1) & F.length(plain).between(15, 34)
+    return (rest == 1) & plain.rlike("^[A-Z0-9]{15,34}$")
+
+
+def _ibans(heads: Column, tails: Column) -> Column:
+    """Confirmed IBANs: of a head and the whole words behind it, the words that pass
+    mod-97, preferably at the country's length, else the most; none within another."""
+    length = F.create_map(*[F.lit(x) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for x in (c, n)])
+
+    def confirmed(head: Column, tail: Column) -> Column:
+        words = F.split(F.concat(head["value"], tail), " ")
+        some = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+        passed = F.filter(some, mod97)
+        usual = F.filter(passed, lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))) == F.element_at(length, F.substring(v, 1, 2)))
+        value = F.coalesce(F.get(usual, F.lit(0)), F.get(passed, F.size(passed) - 1))
+        return F.struct(head["start"].alias("start"), (head["start"] + F.length(value)).alias("end"), value.alias("value"))
+
+    found = F.filter(F.zip_with(heads, tails, confirmed), lambda x: x["value"].isNotNull())
+    apart = lambda acc, x: F.coalesce(F.get(acc, F.size(acc) - 1)["end"] <= x["start"], F.lit(True))
+    return F.aggregate(found, F.array().cast(f"array<{SPAN}>"), lambda acc, x: F.when(apart(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
 
 
 def _score(text: Column, span: Column, kind: str) -> Column:
@@ -137,7 +163,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     proposals = {
         "card": F.filter("pii_s_card", lambda x: F.when(n(x).between(13, 15), luhn(digits_of(x["value"]))).otherwise(False)),
-        "iban": F.filter("pii_s_iban", lambda x: mod97(x["value"])),
+        "iban": _ibans(F.col("pii_s_iban"), F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))),
     }
 
     def scored(kind: str):

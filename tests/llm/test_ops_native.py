@@ -194,3 +194,17 @@ def test_pii_zero_parts(spark):
     rows = list(enumerate(texts))
     got = {r.doc_id: tuple(r)[1:6] for r in pii.pii_digest(docs(spark, rows)).collect()}
     assert got == {i: base_pii(t) for i, t in rows} and [got[i][1] for i in range(6)] == [1, 1, 2, 2, 0, 0]
+
+
+def test_pii_iban_before_words(spark):
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    cases = {
+        f"{de} Please pay": [de], f"{spaced} AND": [spaced], f"{de} 12 {gb} X": [de, gb], f"to {gb} Bank 7": [gb], f"{de}\n{spaced}.": [de, spaced],
+        f"BE71096123456769 {de}": ["BE71096123456769", de], f"{de}x": [], f"{de}7": [], f"x{de}": [], f"{de[:-1]} 1 AND": [], f"😀 {de} Ä": [de],
+        "NO93 8601 1117 947 A B C D E F G H I J K L M N O P Q R S T U V W X Y Z": ["NO93 8601 1117 947"],
+    }
+    rows = list(enumerate(cases))
+    got = {r.doc_id: r.pii_more for r in pii.find_pii(docs(spark, rows)).collect()}
+    for i, t in rows:
+        spans = [(x.start, x.end) for x in got[i] if x.kind == "iban"]
+        assert [t[a:b] for a, b in spans] == cases[t], t
