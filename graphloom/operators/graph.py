@@ -10,6 +10,7 @@ one round.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -213,20 +214,39 @@ def communities(edges: DataFrame, iterations: int = 10) -> DataFrame:
     return labels.join(numbered(heads, "head", "community"), "label").select("node", "community")
 
 
-def strong_components(edges: DataFrame, depth: int = 50) -> DataFrame:
+def among(kept: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges with both ends among the nodes kept."""
+    return cut(edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
     """``node, component``: strongly connected components by their smallest node.
 
-    Forward-backward colouring: the smallest node that reaches a node is its
-    colour; the nodes of a colour that also reach their colour's node form a
-    component; the rest goes another round.
+    Nodes without an edge in or out are components of their own and go first.
+    Then forward-backward colouring: the smallest node that reaches a node is
+    its colour; the nodes of a colour that also reach their colour's node form a
+    component; the rest goes another round.  Both walks go on until nothing
+    moves, so a component of any length is found whole.
     """
     spark = edges.sparkSession
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     todo = cut(nodes(edges))
-    done = None
+    found: list[DataFrame] = []
+
+    def add(part: DataFrame) -> None:
+        found.append(part)
+        if len(found) == 50:  # keeps the plan small
+            found[:] = [cut(reduce(DataFrame.unionByName, found))]
+
     while not todo.isEmpty():
+        core = cut(left.select(F.col("src").alias("node")).intersect(left.select("dst")))
+        alone = cut(todo.join(core, "node", "left_anti"))
+        if not alone.isEmpty():
+            add(alone.withColumn("component", F.col("node")))
+            todo, left = core, among(core, left)
+            continue
         colour = todo.withColumn("colour", F.col("node"))
-        for _ in range(depth):
+        while True:
             low = left.join(colour, left.src == colour.node).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
             after = cut(colour.join(low, "node", "left").select("node", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
             colour = after.select("node", "colour")
@@ -236,17 +256,16 @@ def strong_components(edges: DataFrame, depth: int = 50) -> DataFrame:
         frontier = back
         same = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd")
         same = cut(same.select("src", "dst", "cs"))
-        for _ in range(depth):
+        while True:
             step = same.join(frontier, same.dst == frontier.node).select(F.col("src").alias("node"), F.col("cs").alias("colour")).distinct()
             frontier = cut(step.join(back, "node", "left_anti"))
             if frontier.isEmpty():
                 break
             back = cut(back.unionByName(frontier))
-        part = back.select("node", F.col("colour").alias("component"))
-        done = part if done is None else done.unionByName(part)
+        add(back.select("node", F.col("colour").alias("component")))
         todo = cut(todo.join(back, "node", "left_anti"))
-        left = cut(left.join(todo.withColumnRenamed("node", "src"), "src", "left_semi").join(todo.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    return done if done is not None else spark.createDataFrame([], f"node {dict(edges.dtypes)['src']}, component {dict(edges.dtypes)['src']}")
+        left = among(todo, left)
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"node {dict(edges.dtypes)['src']}, component {dict(edges.dtypes)['src']}")
 
 
 def simple_cycles(edges: DataFrame, longest: int = 3) -> DataFrame:

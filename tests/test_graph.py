@@ -1,3 +1,5 @@
+import random
+
 from graphloom.operators import graph, metrics
 from graphloom.plans import pattern
 from pyspark.sql import functions as F
@@ -101,3 +103,28 @@ def test_translation():
     assert pattern.translate("show python files") == "MATCH (f:File) WHERE f.language = 'python' RETURN f"
     assert pattern.translate("cari fungsi bayar") == "MATCH (s:Symbol) WHERE s.name CONTAINS 'bayar' RETURN s"
     assert pattern.translate("") is None and "CONTAINS 'hello'" in pattern.to_query("well hello")
+
+
+def brute_components(pairs):
+    after = {x: {x} for p in pairs for x in p}
+    while True:
+        more = {x: after[x] | {b for a, b in pairs if a in after[x]} for x in after}
+        if more == after:
+            return {x: min(y for y in after[x] if x in after[y]) for x in after}
+        after = more
+
+
+def test_strong_components_of_any_length(spark):
+    ring = [(f"n{i:03}", f"n{(i + 1) % 53:03}") for i in range(53)]  # the colour walks 52 hops
+    chain = [("n007", "p00"), *[(f"p{i:02}", f"p{i + 1:02}") for i in range(9)]]
+    got = {r.node: r.component for r in graph.strong_components(edges(spark, ring + chain)).collect()}
+    assert got == {f"n{i:03}": "n000" for i in range(53)} | {f"p{i:02}": f"p{i:02}" for i in range(10)}
+
+
+def test_strong_components_brute_force(spark):
+    r = random.Random(5)
+    pairs = [(f"{r.randrange(40):02}", f"{r.randrange(40):02}") for _ in range(55)]
+    want = brute_components(pairs)
+    rows = [(x.node, x.component) for x in graph.strong_components(edges(spark, pairs)).collect()]
+    assert len(rows) == len(want) and dict(rows) == want and 1 < len(set(want.values())) < len(want)
+    assert graph.strong_components(edges(spark, pairs).limit(0)).isEmpty()
