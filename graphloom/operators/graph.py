@@ -273,12 +273,17 @@ def simple_cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     hops = cut(edges.select("src", "dst").distinct())
     paths = hops.select(F.array("src").alias("path"), "dst").where("dst >= src")
     found = None
-    for _ in range(longest):
+    for k in range(1, longest + 1):
         closed = paths.where(F.col("dst") == F.element_at("path", 1)).select(F.concat("path", F.array("dst")).alias("cycle"))
         found = closed if found is None else found.unionByName(closed)
+        if k == longest:
+            break
         open_ = paths.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
         open_ = open_.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
-        paths = cut(open_.join(hops, open_["last"] == hops.src).where(F.col("dst") >= F.element_at("path", 1)).select("path", "dst"))
+        on = open_["last"] == hops.src
+        if k == longest - 1:  # the last edge can only close
+            on &= F.element_at("path", 1) == hops.dst
+        paths = cut(open_.join(hops, on).where(F.col("dst") >= F.element_at("path", 1)).select("path", "dst"))
     return found.distinct()
 
 

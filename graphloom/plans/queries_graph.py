@@ -189,7 +189,7 @@ def g12_node_pagerank(spark, sf_dir):
     return graph.pagerank(view(spark, sf_dir, "v_edges"), 4).where("node = 7").select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query(None, "v_edges")
 def g13_communities(spark, sf_dir):
     return graph.communities(view(spark, sf_dir, "v_edges"), 5)
 

@@ -303,7 +303,7 @@ def x17_hash_embedding(spark, sf_dir):
     return search.semantic(items, first, 10, "item_id", "v").withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(None, "v_edges")
 def n14_report(spark, sf_dir):
     """The sub-reports as rows; one that fails is reported and does not stop the others."""
     files, edges, doc = use(spark, sf_dir, "v_files", "v_edges", "v_edges_doc")

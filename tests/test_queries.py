@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 from graphloom.plans import registry
-from graphloom.plans.views import TABLES
+from graphloom.plans.views import TABLES, VIEWS
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -45,3 +45,34 @@ def test_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_full_queries_see_every_edge(spark):
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    every, thin = (con.execute(f"select count(*) from ({VIEWS[v]})").fetchone()[0] for v in ("v_edges_full", "v_edges"))
+    one = lambda name: registry.QUERIES[name](spark, SF)
+    assert one("g1_graph_counts_full").first()["edges"] == one("a3_graph_summary_full").first()["edges"] == every > 5 * thin
+    assert one("g1_graph_counts").first()["edges"] == thin
+    assert {r.what: r.n for r in one("a1_counts_full").collect()}["edges"] == every
+    assert one("g11_pagerank_full").count() == one("g1_graph_counts_full").first()["nodes"]
+    own = {"n14_report", "g13_communities", "g7_shortest_path", "g8_execution_path"}
+    over = {n for n, sql in registry.ORACLES.items() if "v_edges AS (" in sql and not n.endswith("_full")} | own
+    assert {f"{n}_full" for n in over - {"g14_strong_components"}} <= set(registry.QUERIES)
+
+
+def test_full_paths(spark):
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    after = collections.defaultdict(set)
+    for a, b in con.execute(f"select distinct src, dst from ({VIEWS['v_edges_full']})").fetchall():
+        after[a].add(b)
+    seen, frontier = {11}, [(11,)]
+    while frontier and not (found := [p for p in frontier if p[-1] == 30]):
+        step = sorted((*p, x) for p in frontier for x in after[p[-1]] if x not in seen)
+        frontier = list({p[-1]: p for p in reversed(step)}.values())
+        seen |= {p[-1] for p in frontier}
+    rows = registry.QUERIES["g7_shortest_path_full"](spark, SF).collect()
+    assert found and [tuple(r) for r in rows] == [(">".join(map(str, found[0])), len(found[0]) - 1)]
+    steps = registry.QUERIES["g8_execution_path_full"](spark, SF).orderBy("step").collect()
+    assert [(s.src, s.dst) for s in steps] == list(zip(found[0], found[0][1:]))
