@@ -76,3 +76,28 @@ def test_full_paths(spark):
     assert found and [tuple(r) for r in rows] == [(">".join(map(str, found[0])), len(found[0]) - 1)]
     steps = registry.QUERIES["g8_execution_path_full"](spark, SF).orderBy("step").collect()
     assert [(s.src, s.dst) for s in steps] == list(zip(found[0], found[0][1:]))
+
+
+def test_full_strong_components(spark):
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    pairs = con.execute(f"select distinct src, dst from ({VIEWS['v_edges_full']})").fetchall()
+    ahead, behind = collections.defaultdict(set), collections.defaultdict(set)
+    for a, b in pairs:
+        ahead[a].add(b)
+        behind[b].add(a)
+
+    def walk(x, to):
+        seen, todo = {x}, [x]
+        while todo:
+            new = to[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    want = {}
+    for x in sorted({x for p in pairs for x in p}):
+        if x not in want:
+            want |= dict.fromkeys(walk(x, ahead) & walk(x, behind), x)
+    rows = [tuple(r) for r in registry.QUERIES["g14_strong_components_full"](spark, SF).collect()]
+    assert len(rows) == len(want) and dict(rows) == want and max(want) > 60
