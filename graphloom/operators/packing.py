@@ -155,23 +155,27 @@ def layout_of(target: str) -> str:
     return LAYOUTS.get(target, "plain" if target in TARGETS else "rich")
 
 
-def export(pack_files: DataFrame, rules: list[str], task: str, layout: str = "plain") -> DataFrame:
-    """One row ``document``: a pack as text; ``pack_files``: path, language, content, position, tokens."""
+def export(pack_files: DataFrame, rules: list[str], task: str, layout: str = "plain", by: list[str] | None = None) -> DataFrame:
+    """One row ``document``: a pack as text; ``pack_files``: path, language, content, position, tokens.
+
+    With ``by`` there is one row a pack: these columns and its document.
+    """
+    by = by or []
     if layout == "json":
         one = F.to_json(F.struct("path", "language", "tokens", "content"))
     elif layout == "comment":
         one = F.concat(F.lit("# "), "path", F.lit("\n"), "content", F.lit("\n"))
     else:
         one = F.concat(F.lit("## "), "path", F.lit("\n```"), "language", F.lit("\n"), "content", F.lit("\n```\n"))
-    body = pack_files.agg(F.array_sort(F.collect_list(F.struct("position", one.alias("t")))).alias("parts"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"))
+    body = pack_files.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("position", one.alias("t")))).alias("parts"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"))
     text = F.array_join(F.transform("parts", lambda x: x["t"]), ",\n" if layout == "json" else "\n")
     head = "\n\n".join(rules)
     if layout == "json":
-        return body.select(F.concat(F.lit(f'{{"task": "{task}", "files": ['), text, F.lit("]}")).alias("document"))
+        return body.select(*by, F.concat(F.lit(f'{{"task": "{task}", "files": ['), text, F.lit("]}")).alias("document"))
     if layout == "rich":
         head = f"# Context Pack: {task}\n\n" + head
-        return body.select(F.concat(F.lit(head + "\n\n## Token Budget\n\nCode: "), F.format_number("n", 0), F.lit("\n\n"), text).alias("document"))
-    return body.select(F.concat(F.lit(head + "\n\n" if head else ""), text).alias("document"))
+        return body.select(*by, F.concat(F.lit(head + "\n\n## Token Budget\n\nCode: "), F.format_number("n", 0), F.lit("\n\n"), text).alias("document"))
+    return body.select(*by, F.concat(F.lit(head + "\n\n" if head else ""), text).alias("document"))
 
 
 def mermaid(cycle: list[str]) -> str:

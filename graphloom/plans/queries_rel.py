@@ -413,6 +413,13 @@ def x18_text_complexity(spark, sf_dir):
     return d.select("doc_id", sc.complexity(code).alias("complexity"))
 
 
+@query()
+def x18_text_complexity_full(spark, sf_dir):
+    """Of every document, those with ``?`` included, which the SQL above cannot count."""
+    code = F.concat(F.coalesce("text", F.lit("")), F.lit("\nif (a && b) for case "), F.repeat(F.lit("while "), (F.col("doc_id") % 9).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", sc.complexity(code).alias("complexity"))
+
+
 @query("SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g') AS slug, floor(n_nationkey * 1.005::DOUBLE * 100 + 0.5)::DOUBLE / 100 AS rounded FROM nation")
 def x21_slug(spark, sf_dir):
     """X21 and X29."""

@@ -135,11 +135,11 @@ def c1_compress(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("turn < 12")
+    c = table(spark, sf_dir, "conversations")
     text = F.coalesce("text", F.lit(""))
     return c.select(
         F.col("conv_id").alias("task"),
-        F.concat(F.lit("t"), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("path"),
+        F.format_string("t%03d", F.col("turn").cast("long")).alias("path"),
         F.round(1.0 / (F.col("turn") + 1), 6).alias("relevance"),
         sc.tokens(text).alias("full"),
         F.ceil(F.length(text) / 16).cast("long").alias("signature"),
@@ -155,9 +155,9 @@ def c2_context_pack(spark, sf_dir):
 
 @query()
 def sk5_export(spark, sf_dir):
-    """SK5: a pack as one document."""
-    c = packing.pack(_candidates(spark, sf_dir), 300).where("task < 5").withColumns({"language": F.lit("text"), "content": F.col("path")})
-    return packing.export(c, ["Keep it short."], "demo", "rich")
+    """SK5: each conversation's pack as one document."""
+    c = packing.pack(_candidates(spark, sf_dir), 300).withColumns({"language": F.lit("text"), "content": F.col("path")})
+    return packing.export(c, ["Keep it short."], "demo", "rich", ["task"])
 
 
 @query("SELECT relative_path, sha256(content) AS hash, file_id % 10 = 0 AS moved FROM v_files WHERE file_id % 10 <> 1", "v_files")
@@ -291,6 +291,12 @@ def x26_snippet(spark, sf_dir):
     return f.select("file_id", F.regexp_extract(s, r"(\[the\])", 1).alias("marked"))
 
 
+@query()
+def x26_snippet_full(spark, sf_dir):
+    """The snippet of every file."""
+    return view(spark, sf_dir, "v_files").select("file_id", search.snippet(F.col("content"), "the").alias("snippet"))
+
+
 @query()
 def x17_hash_embedding(spark, sf_dir):
     """Items as hashed vectors, their similarity to the first one."""

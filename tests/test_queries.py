@@ -3,10 +3,11 @@
 import collections
 import datetime
 import os
+import re
 
 import duckdb
 import pytest
-from graphloom.plans import registry
+from graphloom.plans import queries_text, registry
 from graphloom.plans.views import TABLES, VIEWS
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,36 @@ def test_full_strong_components(spark):
             want |= dict.fromkeys(walk(x, ahead) & walk(x, behind), x)
     rows = [tuple(r) for r in registry.QUERIES["g14_strong_components_full"](spark, SF).collect()]
     assert len(rows) == len(want) and dict(rows) == want and max(want) > 60
+
+
+def small(spark, path, **tables):
+    """A folder of tables: those given, and the others from the smallest tables."""
+    for t in TABLES:
+        os.symlink(f"{SF}/{t}.parquet", path / f"{t}.parquet") if t not in tables else tables[t].write.parquet(str(path / f"{t}.parquet"))
+    return str(path)
+
+
+def test_packs_of_all_turns_and_conversations(spark, tmp_path):
+    n = {1: 30, 7: 2, 9: 1100}
+    turns = [(c, t, "user", f"text {t}", "en") for c, k in n.items() for t in range(k)]
+    sf = small(spark, tmp_path, conversations=spark.createDataFrame(turns, "conv_id long, turn int, role string, text string, lang string"))
+    packs = registry.QUERIES["c2_context_pack"](spark, sf).collect()
+    assert {r.task for r in packs} == set(n) and "t012" in {r.path for r in packs if r.task == 1} and all(r.position < n[r.task] for r in packs)
+    documents = registry.QUERIES["sk5_export"](spark, sf).collect()
+    assert sorted(r.task for r in documents) == sorted(n)
+    for r in documents:
+        assert r.document.startswith("# Context Pack: demo") and r.document.count("## t") >= min(n[r.task], 14), r.document
+    assert [r.document.count("## t") for r in documents if r.task == 7] == [2]
+    candidates = queries_text._candidates(spark, sf)
+    assert candidates.count() == sum(n.values()) == candidates.select("task", "path").distinct().count()
+
+
+def test_all_files_have_snippets_and_complexity(spark, tmp_path):
+    texts = {i: t for i, t in enumerate(["a ? b : c ?? d?.e", "so THE other the", None, "", "no hit", *["x " * 40 + f"the {i}" for i in range(30)]])}
+    sf = small(spark, tmp_path, documents=spark.createDataFrame([(i, t, "en", "web") for i, t in texts.items()], "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: r.complexity for r in registry.QUERIES["x18_text_complexity_full"](spark, sf).collect()}
+    branch = re.compile(r"\b(if|for|while|catch|case|elif)\b|&&|\|\||\?\?|\?(?!\.)")
+    assert got == {i: 1 + len(branch.findall(f"{t or ''}\nif (a && b) for case " + "while " * (i % 9))) for i, t in texts.items()}
+    marks = {r.file_id: r.snippet for r in registry.QUERIES["x26_snippet_full"](spark, sf).collect()}
+    assert set(marks) == set(texts) and marks[1] == "so [THE] o[the]r [the]" and marks[2] is None and marks[4] == "no hit"
+    assert all(marks[i].endswith(f"x [the] {i - 5}") for i in range(5, 35))
