@@ -74,7 +74,7 @@ def semantic(table: DataFrame, vector: list[float], limit: int, key: str, column
 def snippet(text: Column, term: str, width: int = 32) -> Column:
     """Words around the first hit, the hit in brackets."""
     words = F.split(text, r"\s+")
-    at = F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.contains(F.lower(F.get(words, i)), F.lit(term.lower()))), F.lit(0))
+    at = F.array_position(F.transform(words, lambda w: F.contains(F.lower(w), F.lit(term.lower()))), True).cast("int") - 1
     first = F.greatest(F.coalesce(at, F.lit(0)) - width // 2, F.lit(0))
     part = F.array_join(F.slice(words, first + 1, F.lit(width)), " ")
     return F.regexp_replace(part, rf"(?i)({term})", "[$1]")
