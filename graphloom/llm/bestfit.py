@@ -10,9 +10,11 @@ The result equals best-fit decreasing over all documents at once.
 The number of runs depends on the capacity, not on the corpus: every length
 splits at most two ranges of equal bins.
 
-Defined results: a null text is empty and packs as its end token alone;
-repeated rows are packed once each; equal lengths (ties) take bins in the order
-of a hash; extra columns are ignored; an empty table gives no rows.
+Defined results: a null text is empty and packs as its end token alone; a text
+longer than a sequence is cut and nothing of it is lost; repeated rows are
+packed once each; equal lengths (ties) take bins in the order of a hash; extra
+columns are ignored; an empty table gives no rows; the string of an added token
+is that token, or ordinary text where ``added_tokens`` is false.
 """
 
 from __future__ import annotations
@@ -110,8 +112,9 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 def encoder(path: str):
     """The byte-level BPE of a tokenizers file, run by the tiktoken engine.
 
-    Both give the same ids (checked by test); this engine is several times
-    faster in one thread.  Ids of such a vocabulary are its merge ranks.
+    Both give the same ids (checked by test), added tokens included; this engine
+    is several times faster in one thread.  Ids of such a vocabulary are its
+    merge ranks.  Added tokens must stand for their plain string.
     """
     import json
     from pathlib import Path
@@ -122,12 +125,14 @@ def encoder(path: str):
     cache = worker_cache()
     if ("encoder", path) not in cache:
         model = json.loads(Path(path).read_text())
-        special = {x["content"] for x in model.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
+        if model.get("normalizer") or any(x.get(k) for x in model.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("only byte-level files without a normalizer and with plain added tokens")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         by_char = {chr(b): b for b in plain}
         by_char |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(by_char[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        cache["encoder", path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        cache["encoder", path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return cache["encoder", path]
 
 
@@ -145,7 +150,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def tokenize(docs: DataFrame, capacity: int, tokenizer: str | None = None, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, capacity: int, tokenizer: str | None = None, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True) -> DataFrame:
     """Pieces of every document: ``doc_id, piece, start, length, ids_crc32, salt`` (and ``ids``)."""
     import pyarrow as pa
 
@@ -153,11 +158,12 @@ def tokenize(docs: DataFrame, capacity: int, tokenizer: str | None = None, end_i
 
     def run(batches):
         enc, salt = encoder(path), 0
+        added = enc.special_tokens_set if added_tokens else set()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows, ids_out = [], []
             for k, doc_id in enumerate(doc_ids):
-                ids = np.frombuffer(enc._core_bpe.encode_to_tiktoken_buffer(texts[k].as_py() or "", set()), np.uint32)
+                ids = np.frombuffer(enc._core_bpe.encode_to_tiktoken_buffer(texts[k].as_py() or "", added), np.uint32)
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
@@ -217,7 +223,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return placed.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = END_ID, keep_ids: bool = False, added_tokens: bool = True) -> DataFrame:
     """Tokenizes, cuts and packs every document; a row a piece."""
-    pieces = materialize(tokenize(docs, capacity, tokenizer, end_id, keep_ids))
+    pieces = materialize(tokenize(docs, capacity, tokenizer, end_id, keep_ids, added_tokens=added_tokens))
     return pack(pieces, capacity).drop("salt")

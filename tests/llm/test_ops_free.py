@@ -48,14 +48,16 @@ def test_plan_is_best_fit_decreasing(case):
     assert len(bins) == opened
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("added", [True, False])
+def test_packing(spark, added):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(bestfit.default_tokenizer())
-    tok.encode_special_tokens = True
-    texts = [None, "", "hello world", "é😀 x" * 50, "word " * 3000, "<|endoftext|> a", "hello world", " \n\t\u3000 123456789 don't", "a" * 5000]
+    if not added:
+        tok.encode_special_tokens = True
+    texts = [None, "", "hello world", "é😀 x" * 50, "word " * 3000, "<|endoftext|> a", "hello <|endoftext|> world<|endoftext|><|endoftext|>", "<|endoftext<|endoftext|>|>", "hello world", " \n\t\u3000 123456789 don't", "a" * 5000]
     rows = list(enumerate(texts))
-    out = bestfit.pack_documents(docs(spark, rows).selectExpr("*", "1 as piece", "2 as ids"), 64).collect()
+    out = bestfit.pack_documents(docs(spark, rows).selectExpr("*", "1 as piece", "2 as ids"), 64, added_tokens=added).collect()
     got = collections.defaultdict(list)
     for r in out:
         got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
@@ -73,6 +75,7 @@ def test_packing(spark):
         assert end <= 64
     assert bestfit.cut(130, 64) == [(0, 2), (2, 64), (66, 64)] and bestfit.cut(128, 64) == [(0, 64), (64, 64)]
     assert bestfit.pack_documents(docs(spark, []), 64).count() == 0
+    assert (50256 in tok.encode(texts[6], add_special_tokens=False).ids) == added
     ids = bestfit.tokenize(docs(spark, [(1, "hello world")]), 64, keep_ids=True).first().ids
     assert tok.decode(ids[:-1]) == "hello world" and ids[-1] == 2
 
