@@ -55,6 +55,29 @@ def release(spark: SparkSession, df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows from which on a key may count as hot, and how many hot keys there can be at most.
+HOT_ROWS, MOST_HOT = 100_000, 10_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and, as ``count``,
+    how many rows of ``left`` have that key.
+
+    Keys with more than ``HOT_ROWS`` and more than a ``MOST_HOT``th of all these
+    rows are joined by broadcast, the others by a shuffle, so no task gets all
+    rows of a hot key.  There are fewer than ``MOST_HOT`` hot keys whatever the
+    input.  ``right`` should be a written table; ``left`` is read twice where
+    there are hot keys.
+    """
+    total = right.agg(F.sum(count).alias("n"), F.max(count).alias("most")).first()
+    bound = max(HOT_ROWS, (total["n"] or 0) // MOST_HOT)
+    if (total["most"] or 0) <= bound:
+        return left.join(right, on, how)
+    hot = F.broadcast(right.where(F.col(count) > bound))
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(hot, on, "left_semi" if how == "left_semi" else "inner").unionByName(cold.join(right, on, how))
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker process."""
     module = sys.modules.setdefault("_graphloom_worker_cache", types.ModuleType("_graphloom_worker_cache"))

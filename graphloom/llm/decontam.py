@@ -1,30 +1,34 @@
 """Benchmark decontamination: a broadcast set of n-gram windows, scanned and verified.
 
-The windows of the benchmark are hashed into a sorted array that is broadcast.
-Its size is bounded: a benchmark with more than ``MAX_WINDOWS`` windows is cut
-into blocks, and the documents pass through one scan a block.  Documents are
-scanned as bytes: a table lower-cases A-Z, prefix sums give the hash of every
-window of words, a bit table and a binary search find candidates, and the words
-of each candidate are compared, so hash collisions cannot count as hits.
+The windows of the benchmark are hashed into a sorted array that is broadcast:
+a number and a place in the normalised text a window, and each text once.  Its
+size is bounded: a benchmark with more than ``MAX_WINDOWS`` windows or
+``MAX_BYTES`` of text is cut into blocks (a long item too), and the documents
+pass through one scan a block, written in between, so that one block at a time
+lives on the driver and the executors.  Documents are scanned as bytes: a table
+lower-cases A-Z, prefix sums give the hash of every window of words, a bit table
+and a binary search find candidates, and the words of each candidate are
+compared, so hash collisions cannot count as hits.
 
 Defined results: null and empty texts have no words, no hits and no items;
 items without words match nothing, null item ids and texts are ignored; equal
 passages in several items count for each of these items; repeated rows are
-scanned alike; extra columns are ignored by the scan; empty tables give no
-rows, or no hits.
+scanned alike; a long text is scanned whole, in chunks of whole documents;
+extra columns are ignored by the scan; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrowbytes as ab
+from graphloom.llm.common import materialize
 
 WINDOW = 10
-MAX_WINDOWS = 2_000_000
+#: What one block may hold: some 40 bytes a window, and its text.
+MAX_WINDOWS, MAX_BYTES = 1_000_000, 64_000_000
 SPANS = "array<struct<start:int,end:int>>"
 BETWEEN = f"doc_id long, text string, items array<string>, runs {SPANS}"
 HITS = f"doc_id long, text string, n_words long, n_hit long, items array<string>, spans {SPANS}"
@@ -38,33 +42,48 @@ def word_table() -> np.ndarray:
 
 
 class WindowSet:
-    """Windows of benchmark items: hash -> {words: item ids}, with a bit table."""
-
-    def __init__(self, rows: list[tuple[str, str]], size: int = WINDOW):
-        self.size, self.found = size, {}
-        hashes = ab.hasher()
-        for item, text in rows:
-            data = ab.ascii_lower_table()[np.frombuffer(text.encode(), np.uint8)]
-            starts, ends = ab.word_bounds(word_table()[data], np.zeros(1, np.int64))
-            if not len(starts):
-                continue
-            k = min(size, len(starts))
-            raw, words = data.tobytes(), hashes.words(data, starts, ends)
-            for i, h in enumerate(hashes.windows(words, k).tolist()):
-                key = b" ".join(raw[starts[j] : ends[j]] for j in range(i, i + k))
-                self.found.setdefault(k, {}).setdefault(h, {}).setdefault(key, set()).add(item)
-
-    def __len__(self) -> int:
-        return sum(map(len, self.found.values()))
-
-    def tables(self) -> dict:
-        out = {}
-        for k, by_hash in self.found.items():
-            keys = np.array(sorted(by_hash), np.uint64)
-            bits = np.zeros(1 << 20, bool)
-            bits[keys >> np.uint64(44)] = True
-            out[k] = (keys, bits, by_hash)
-        return out
+    """Windows of benchmark items, gathered until a block is full.
+
+    ``tables`` gives, by window size, the sorted hashes of the distinct windows,
+    a bit table over their top bits, the place of each in the text, and its items.
+    """
+
+    def __init__(self):
+        self.texts, self.size, self.windows = [], 0, 0
+        self.rows: dict[int, list[tuple]] = {}
+        self.items: list[str] = []
+
+    def full(self) -> bool:
+        return self.windows >= MAX_WINDOWS or self.size >= MAX_BYTES
+
+    def add(self, item: str, words: list[bytes], size: int, hashes: np.ndarray) -> None:
+        """Windows of ``size`` words, one at every word from which on there are enough."""
+        text = b" ".join(words) + b" "
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = np.concatenate([[0], ends[:-1]])
+        n = len(words) - size + 1
+        first, last = starts[:n] + self.size, ends[size - 1 :] - 1 + self.size
+        self.rows.setdefault(size, []).append((hashes, first, last, np.full(n, len(self.items), np.int64)))
+        self.items.append(item)
+        self.texts.append(text)
+        self.size += len(text)
+        self.windows += n
+
+    def tables(self) -> tuple:
+        text, out = b"".join(self.texts), {}
+        for k, rows in self.rows.items():
+            hashes, first, last, item = (np.concatenate(x) for x in zip(*rows))
+            order = np.argsort(hashes, kind="stable")
+            hashes, first, last, item = hashes[order], first[order], last[order], item[order]
+            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            for i in np.flatnonzero(~new).tolist():  # equal hashes: the same words, or a collision
+                new[i] = text[first[i] : last[i]] != text[first[i - 1] : last[i - 1]]
+            at = np.flatnonzero(new)
+            bits = np.zeros(1 << min(max(20, int(len(at)).bit_length() + 3), 25), bool)
+            shift = np.uint64(64 - (len(bits).bit_length() - 1))
+            bits[hashes[at] >> shift] = True
+            out[k] = (hashes[at], bits, shift, first[at], last[at], np.append(at, len(item)), item)
+        return text, self.items, out
 
 
 def scan_chunk(bounds: np.ndarray, raw: np.ndarray, tables: dict):
@@ -79,19 +98,21 @@ def scan_chunk(bounds: np.ndarray, raw: np.ndarray, tables: dict):
     runs: dict[int, list] = {}
     items: dict[int, set] = {}
     text = None
-    for k, (keys, bits, by_hash) in tables.items():
+    known, names, by_size = tables
+    for k, (keys, bits, shift, first, last, edges, item) in by_size.items():
         window = hashes.windows(words, k)
-        near = np.flatnonzero(bits[window >> np.uint64(44)])
+        near = np.flatnonzero(bits[window >> shift])
         near = near[owner[near] == owner[near + k - 1]]
-        at = np.minimum(np.searchsorted(keys, window[near]), len(keys) - 1)
-        near = near[keys[at] == window[near]]
-        for i in near.tolist():
+        lo, hi = np.searchsorted(keys, window[near], "left"), np.searchsorted(keys, window[near], "right")
+        some = hi > lo
+        for i, a, b in zip(near[some].tolist(), lo[some].tolist(), hi[some].tolist()):
             text = data.tobytes() if text is None else text
             key = b" ".join(text[starts[j] : ends[j]] for j in range(i, i + k))
-            if found := by_hash[int(window[i])].get(key):
-                d = int(owner[i])
-                runs.setdefault(d, []).append((i, i + k))
-                items.setdefault(d, set()).update(found)
+            for e in range(a, b):  # one, but for collisions
+                if known[first[e] : last[e]] == key:
+                    d = int(owner[i])
+                    runs.setdefault(d, []).append((i, i + k))
+                    items.setdefault(d, set()).update(names[x] for x in item[edges[e] : edges[e + 1]])
     return np.bincount(owner, minlength=docs), runs, items, starts, ends, data
 
 
@@ -106,18 +127,35 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
-    """Window sets of bounded size over the whole benchmark."""
-    rows, held = [], 0
-    for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        if row[0] is None or not row[1]:
+    """Window sets of bounded size over the whole benchmark, read a partition at a time.
+
+    An item that does not fit goes on in the next block, from the first word
+    whose window is not yet there.
+    """
+    held, hashes = WindowSet(), ab.hasher()
+    for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
+        if item is None or not text:
+            continue
+        data = ab.ascii_lower_table()[np.frombuffer(text.encode(), np.uint8)]
+        starts, ends = ab.word_bounds(word_table()[data], np.zeros(1, np.int64))
+        if not len(starts):
             continue
-        rows.append((row[0], row[1]))
-        held += len(row[1]) // 2
-        if held > MAX_WINDOWS:
-            yield WindowSet(rows, size)
-            rows, held = [], 0
-    if rows:
-        yield WindowSet(rows, size)
+        k = min(size, len(starts))
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        windows = hashes.windows(hashes.words(data, starts, ends), k)
+        done, n = 0, len(words) - k + 1
+        while done < n:
+            if held.full():
+                yield held
+                held = WindowSet()
+            more = min(n - done, MAX_WINDOWS - held.windows)
+            weight = np.cumsum([len(w) + 1 for w in words[done : done + more + k - 1]])
+            more = max(1, min(more, int(np.searchsorted(weight, MAX_BYTES - held.size)) - k + 1))
+            held.add(item, words[done : done + more + k - 1], k, windows[done : done + more])
+            done += more
+    if held.windows:
+        yield held
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -168,11 +206,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col:
 
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     send = docs.sparkSession.sparkContext.broadcast
-    passes = [send(block.tables()) for block in blocks(benchmark, item_col, item_text, size)] or [send({})]
-    for k, shared in enumerate(passes):
-        last_pass = k == len(passes) - 1
-        df = df.mapInArrow(scan(shared, last_pass), HITS if last_pass else BETWEEN)
-    return df
+    source = blocks(benchmark, item_col, item_text, size)
+    block = next(source, WindowSet())
+    while (after := next(source, None)) is not None:
+        shared = send(block.tables())
+        df = materialize(df.mapInArrow(scan(shared, False), BETWEEN))
+        shared.destroy()
+        block = after
+    return df.mapInArrow(scan(send(block.tables()), True), HITS)
 
 
 def remove_spans(hits: DataFrame) -> DataFrame:

@@ -132,10 +132,15 @@ def test_decontamination(spark, monkeypatch):
     want = collections.Counter((i, *brute(t)) for i, t in rows)
     d = docs(spark, rows).selectExpr("*", "1 as items", "2 as spans")
     assert collections.Counter(tuple(r) for r in decontam.digest(d, bench).collect()) == want
-    monkeypatch.setattr(decontam, "MAX_WINDOWS", 4)  # several blocks
-    assert collections.Counter(tuple(r) for r in decontam.digest(d, bench).collect()) == want
+    for bound in ("MAX_WINDOWS", "MAX_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(decontam, bound, {"MAX_WINDOWS": 4, "MAX_BYTES": 40}[bound])  # several blocks, items cut between them
+            assert len(list(decontam.blocks(bench, "item_id", "text", 10))) > 2
+            assert collections.Counter(tuple(r) for r in decontam.digest(d, bench).collect()) == want
     cleaned = decontam.remove_spans(decontam.find_hits(d.where("doc_id = 1"), bench)).first().text
     assert cleaned == "x  y"
+    same = spark.createDataFrame([(str(i), passage) for i in range(50)], "item_id string, text string")
+    assert {(r.n_hit, r.n_items) for r in decontam.digest(d.where("doc_id = 1"), same).collect()} == {(12, 50)}
     assert decontam.digest(d, bench.limit(0)).where("contaminated").count() == 0 and decontam.digest(d.limit(0), bench).count() == 0
 
 
