@@ -7,7 +7,7 @@ import zlib
 
 import duckdb
 import pytest
-from graphloom.llm import linededup, pii, quality, sharding, urlfilter
+from graphloom.llm import common, linededup, pii, quality, sharding, urlfilter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -136,19 +136,29 @@ LINES = [
     (7, "one two three four six\none two three four five"),
     (8, "q w e r t y u i o p\nq w e r t y u i o p z"),
     (9, "w q e r t y u i o p"),
+    (20, "Short  ONE"),
+    (21, "short one\ntail\n tail "),
     (10, " ".join(f"v{i}" for i in range(3000))),
     (11, " ".join(f"v{i}" if i != 1700 else "zz" for i in range(3000))),
 ]
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "MOST_HOT", 10_000 if hot > 1 else 20)
+    monkeypatch.setattr(linededup, "FEW_LINES", hot)
     d = docs(spark, LINES).selectExpr("*", "1 as row", "2 as n")
     got = sorted(tuple(r) for r in linededup.digest(d).collect())
     con = duckdb.connect()
     con.register("documents", d.select("doc_id", "text").toPandas())
     assert got == sorted(con.execute(linededup.ORACLE).fetchall())
     text = {r.doc_id: r.text for r in linededup.dedup_lines(d).collect()}
-    assert text[1] == LONG + "\nshort one" and text[7] == "one two three four six" and text[11] == "" and text[3] is None
+    assert text[1] == LONG + "\nshort one" and text[20] == "" and text[21] == "tail" and text[7] == "one two three four six" and text[11] == "" and text[3] is None
+    odd = docs(spark, [(1, "a b\na b")]).selectExpr("*", "7 as row", "8 as doc", "9 as all", "'x' as ld_removed", "3 as removed")
+    assert linededup.dedup_lines(odd).select("text", "row", "doc", "all", "removed").collect() == [("a b", 7, 8, 9, 3)]
+    three = linededup.dedup_lines(d, least_words=5).collect()
+    assert {r.doc_id: r.text for r in three}[21] == "short one\ntail\n tail "
     twice = docs(spark, [(1, LONG + "\nx"), (1, LONG + "\nx"), (None, LONG)])
     assert sorted((r.doc_id or -1, r.removed) for r in linededup.digest(twice).collect()) == [(-1, ""), (1, "0"), (1, "0")]
     assert linededup.digest(d.limit(0)).count() == 0
