@@ -15,11 +15,14 @@ either, and this is used three times, each time without losing a link:
    all but l - 1 of them form the prefix (l of the smallest partner); linked
    classes share a prefix shingle, so they lie in one connected component of
    the graph of prefix shingles.
-3. *T-occurrence.*  Components are dealt out as blocks of bounded size (small
-   ones together, large ones as pairs of chunks).  A block has an inverted
-   index; for each class DivideSkip merges the short posting lists, keeps what
-   reaches T minus the number of long lists, and probes the long lists by
-   binary search.
+3. *T-occurrence.*  Components are dealt out as blocks of bounded size: small
+   ones together, a large one as pairs of chunks or by its prefix shingles,
+   whichever copies less (a pair that meets in several blocks counts in the one
+   of its first common prefix shingle).  A block has an inverted index over its
+   classes in the order of their sizes; for each class DivideSkip merges the
+   short posting lists by a heap that skips what cannot reach T minus the number
+   of long lists, and probes the long lists by binary search.  A partner at
+   least as large as a set of n shares 8/9 n with it, which is T.
 
 Blocks return a row a class (links and a spanning forest), never the links
 themselves, so a group of n near copies costs n rows.  Components of links come
@@ -28,21 +31,23 @@ from a distributed star contraction.
 Defined results: texts without words (null, empty) have no shingles, no links
 and are a component of their own; fewer than five words form one shingle; rows
 that share an id count as separate documents with one label, and each gets the
-smallest label among the components of that id's rows; extra columns are ignored;
-an empty table gives no rows.  A document without an id finds its equals, and
+smallest label among the components of that id's rows; long texts are read
+whole; extra columns are ignored; an empty table gives no rows.  A document without an id finds its equals, and
 through them their links; its own id is a label only where no other is there.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrowbytes as ab
-from graphloom.llm.common import materialize, release
+from graphloom.llm.common import join_counted, materialize, release
 
 SHINGLE = 5
 #: Similarity as numerator and denominator.
@@ -50,12 +55,12 @@ NUM, DEN = 4, 5
 #: Shingles that a counting bucket holds about; tokens a mapper gathers before it
 #: sends; documents whose counts are summed together.
 BUCKET, FLUSH, DOCS = 500_000, 2_000_000, 20_000
-#: Classes whose ids may be broadcast (8 bytes each); beyond, a shuffled join.
-FEW_IDS = 2_000_000
-#: Tokens in one T-occurrence block.
-BLOCK = 2_000_000
-#: Share of long lists in DivideSkip.
-MU = 0.02
+#: Rows of ids and places of classes that may be broadcast (some 40 bytes each); beyond, a shuffled join.
+FEW_IDS = 1_000_000
+#: Shingles that one T-occurrence block holds about: at most, and at least where the work is to be spread.
+BLOCK, LEAST_BLOCK = 2_000_000, 10_000
+#: Weight of a probe of a long list against the merge of a short one in DivideSkip.
+MU = 0.01
 
 
 def least(n):
@@ -294,8 +299,43 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def merge_skip(lists: list[list[int]], least: int, last: int):
+    """(ordinal, count) of the ordinals up to ``last`` that ``least`` lists or more hold.
+
+    A heap has the head of every list.  Where too few lists share the smallest
+    head, the heads below the next possible answer are skipped by bisection.
+    """
+    many = len(lists)
+    heap, at = [x[0] * many + j for j, x in enumerate(lists)], [0] * many
+    heapify(heap)
+    while len(heap) >= least:
+        top = heap[0] // many
+        if top > last:
+            return
+        popped, bound = [], (top + 1) * many
+        while heap and heap[0] < bound:
+            popped.append(heappop(heap) % many)
+        if len(popped) >= least:
+            yield top, len(popped)
+            goal = top + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heappop(heap) % many)
+            if not heap:
+                return
+            goal = heap[0] // many
+        for j in popped:
+            own = lists[j]
+            k = at[j] + 1 if own[at[j]] < goal else at[j]
+            if k < len(own) and own[k] < goal:
+                k = bisect_left(own, goal, k)
+            at[j] = k
+            if k < len(own):
+                heappush(heap, own[k] * many + j)
+
+
 def t_occurrence(sets: list[np.ndarray], side: np.ndarray | None = None):
-    """Links within a block, or between its two sides.
+    """Links within a block, or between its two sides; ``sets`` from small to large.
 
     Yields (query, partners): ordinals after the query whose sets are similar.
     """
@@ -304,36 +344,38 @@ def t_occurrence(sets: list[np.ndarray], side: np.ndarray | None = None):
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.lexsort((owner, flat))
     token, posting = flat[order], owner[order]
-    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    names, tail = token[head], np.append(head[1:], len(token))
-    longest = int((tail - head).max()) if len(head) else 0
-    for q, own in enumerate(sets):
-        at = np.searchsorted(names, own)
-        lo, hi = head[at], tail[at]
-        shared = hi - lo > 1
-        lo, hi = lo[shared], hi[shared]
-        need = least(int(sizes[q]))
+    ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    reach = np.searchsorted(sizes, sizes * DEN // NUM, "right") - 1
+    for q in range(len(sets)):
+        if reach[q] <= q:
+            continue
+        lo = place[first[q] : first[q + 1]] + 1  # behind its own posting
+        hi = ends[np.searchsorted(ends, lo - 1, "right")]
+        some = (lo < hi) & (posting[np.minimum(lo, len(posting) - 1)] <= reach[q])
+        lo, hi = lo[some], hi[some]
+        need = -(-2 * NUM * int(sizes[q]) // (NUM + DEN))
         if len(lo) < need:
             continue
         by_length = np.argsort(hi - lo, kind="stable")
         lo, hi = lo[by_length], hi[by_length]
-        n_long = min(need - 1, int(need / (MU * np.log2(longest + 1) + 1)), len(lo))
-        n_short = len(lo) - n_long
-        merged = np.concatenate([posting[a:b] for a, b in zip(lo[:n_short], hi[:n_short])]) if n_short else np.zeros(0, np.int64)
-        found, counts = np.unique(merged, return_counts=True)
-        keep = (counts >= need - n_long) & (found > q)
+        n_long = min(need - 1, int(need / (MU * np.log2(int(hi[-1] - lo[-1]) + 1) + 1)))
+        short = [posting[a:b].tolist() for a, b in zip(lo[: len(lo) - n_long], hi[: len(lo) - n_long])]
+        merged = list(merge_skip(short, need - n_long, int(reach[q])))
+        if not merged:
+            continue
+        found, counts = np.array(merged, np.int64).T
         if side is not None:
-            keep &= side[found] != side[q]
-        found, counts = found[keep], counts[keep]
-        limit = np.minimum(sizes[found], sizes[q])
-        ok = DEN * limit >= NUM * np.maximum(sizes[found], sizes[q])
-        found, counts = found[ok], counts[ok]
-        for k, (a, b) in enumerate(zip(lo[n_short:], hi[n_short:])):
+            apart = side[found] != side[q]
+            found, counts = found[apart], counts[apart]
+        for k, (a, b) in enumerate(zip(lo[len(short) :], hi[len(short) :])):
             if not len(found):
                 break
-            own_list = posting[a:b]
-            place = np.searchsorted(own_list, found)
-            counts = counts + (own_list[np.minimum(place, len(own_list) - 1)] == found)
+            own = posting[a:b]
+            at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+            counts = counts + (own[at] == found)
             if k % 8 == 7:  # what can no longer reach T goes
                 ok = counts + (n_long - k - 1) >= need
                 found, counts = found[ok], counts[ok]
@@ -343,17 +385,36 @@ def t_occurrence(sets: list[np.ndarray], side: np.ndarray | None = None):
             yield q, hit
 
 
-def block_links(blocks: DataFrame) -> DataFrame:
+def _first_common(own: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest number that each other sorted array has in common with ``own``, and whether there is one."""
+    top = np.iinfo(np.int64).max
+    out, there = np.full(len(others), top, np.int64), np.zeros(len(others), bool)
+    flat = np.concatenate(others) if others else np.zeros(0, np.int64)
+    if len(own) and len(flat):
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        of = np.repeat(np.arange(len(others)), [len(x) for x in others])[hit]
+        np.minimum.at(out, of, flat[hit])
+        there[of] = True
+    return out, there
+
+
+def block_links(blocks: DataFrame, buckets: int) -> DataFrame:
     """``cid, links, near``: a row a class and block, ``near`` a class of its local component."""
     import pyarrow as pa
 
+    def arrays(table: pa.Table, name: str, order: np.ndarray) -> list[np.ndarray]:
+        column = table.column(name).combine_chunks()
+        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        return [flat[offsets[i] : offsets[i + 1]] for i in order]
+
     def run(table: pa.Table) -> pa.Table:
-        cid = table.column("cid").to_numpy()
-        copies = table.column("copies").to_numpy()
         column = table.column("tokens").combine_chunks()
-        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
-        sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        side = table.column("side").to_numpy() if table.column("across")[0].as_py() else None
+        order = np.argsort(np.diff(column.offsets.to_numpy()), kind="stable")
+        sets = arrays(table, "tokens", order)
+        cid, copies, sides = (table.column(c).to_numpy()[order] for c in ("cid", "copies", "side"))
+        across, bucket, hot = (table.column(c)[0].as_py() for c in ("across", "bucket", "hot"))
+        by_token = bucket is not None or hot is not None
+        light, heavy = (arrays(table, c, order) if by_token else None for c in ("light", "heavy"))
         root = np.arange(len(cid))
 
         def top(i):
@@ -363,7 +424,15 @@ def block_links(blocks: DataFrame) -> DataFrame:
             return i
 
         links = np.zeros(len(cid), np.int64)
-        for q, partners in t_occurrence(sets, side):
+        for q, partners in t_occurrence(sets, sides if across else None):
+            if by_token:  # only the links of this block's own shingles
+                common, there = _first_common(light[q], [light[p] for p in partners])
+                if bucket is not None:
+                    own = there & (common % buckets == bucket)
+                else:
+                    rare, _ = _first_common(heavy[q], [heavy[p] for p in partners])
+                    own = ~there & (rare == hot)
+                partners = partners[own]
             links[q] += copies[partners].sum()
             links[partners] += copies[q]
             for p in partners.tolist():
@@ -377,6 +446,66 @@ def block_links(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(run, "cid long, links long, near long")
 
 
+def deal(sets: DataFrame, prefix: DataFrame, joint: DataFrame, reach: DataFrame) -> tuple[DataFrame, int]:
+    """The classes in blocks of bounded size, as ``block_links`` reads them, and its buckets.
+
+    ``prefix``: cid, n, token; ``joint``: token, k, weight (its classes and their
+    shingles), for tokens of two classes or more; ``reach``: node, root.
+    """
+    spark = sets.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    sized = reach.join(sets.select("cid", "n"), F.col("cid") == F.col("node")).select("cid", "root", "n")
+    in_root = materialize(sized.groupBy("root").agg(F.sum("n").alias("tokens_in"), F.count(F.lit(1)).alias("members")))
+    total = in_root.agg(F.sum("tokens_in").alias("n")).first()["n"] or 0
+    block = min(BLOCK, max(LEAST_BLOCK, total // (2 * tasks) + 1))
+    parts = F.ceil(F.col("tokens_in") / block).cast("int").alias("parts")
+    dealt = materialize(join_counted(sized, in_root, ["root"], "members").select("cid", "root", "n", "members", parts))
+    seen = dealt.agg(F.sum(F.when(F.col("parts") == 1, F.col("n"))).alias("light"), F.max("parts").alias("parts")).first()
+    bins = max(tasks, int((seen["light"] or 0) // block) + 1)
+    none, numbers = F.lit(None).cast("long"), F.array().cast("array<bigint>")
+    fields = lambda bucket=none, hot=none: [F.col("cid"), F.col("block"), F.col("side"), F.col("across"), bucket.alias("bucket"), hot.alias("hot")]
+
+    def pairs(rows: DataFrame, chunks: str, *label) -> DataFrame:
+        """Each row in one block for every pair of chunks that holds its own."""
+        rows = rows.withColumn("side", F.pmod(F.xxhash64("cid"), F.col(chunks)).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(chunks).cast("int") - 1)))
+        name = F.concat_ws("-", *label, F.least("side", "other"), F.greatest("side", "other"))
+        return rows.withColumn("block", name).withColumn("across", F.col("side") != F.col("other"))
+
+    alone = dealt.where("parts = 1").withColumn("block", F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins))))
+    placed = alone.withColumn("side", F.lit(0)).withColumn("across", F.lit(False)).select(*fields())
+    rows, buckets = sets.select("cid", "copies", "tokens").withColumn("light", numbers).withColumn("heavy", numbers), 1
+    if (seen["parts"] or 0) > 1:
+        buckets = int((joint.where(F.col("weight") <= block).agg(F.sum("weight").alias("w")).first()["w"] or 0) // block) + 1
+        tokens = join_counted(prefix, joint, ["token"], "k").select("cid", "token", "weight")
+        tokens = tokens.join(dealt.where("parts > 1"), "cid")
+        is_light, bucket = F.col("weight") <= block, F.pmod("token", F.lit(buckets))
+        heavy = F.when(~is_light, F.struct("token", F.ceil(F.col("weight") / block).cast("int").alias("chunks")))
+        marks = tokens.groupBy("cid", "root", "n", "members", "parts").agg(
+            F.sort_array(F.collect_set(F.when(is_light, F.col("token")))).alias("light"),
+            F.collect_set(F.when(is_light, bucket)).alias("in_buckets"),
+            F.sort_array(F.collect_set(heavy)).alias("heavy"),
+        )
+        marks = materialize(marks.withColumn("times", F.size("in_buckets") + F.aggregate("heavy", F.lit(0), lambda a, x: a + x["chunks"])))
+        by_root = materialize(
+            marks.groupBy("root").agg(F.count(F.lit(1)).alias("members"), (F.sum(F.col("n") * F.col("times")) / F.sum("n")).alias("spread"))
+        )
+        chosen = materialize(join_counted(marks.drop("members"), by_root, ["root"], "members").withColumn("by_token", F.col("spread") < F.col("parts")))
+        split = pairs(chosen.where("not by_token"), "parts", "root").select(*fields())
+        own = chosen.where("by_token")
+        few = own.withColumn("bucket", F.explode("in_buckets")).withColumn("block", F.concat(F.lit("t"), "bucket"))
+        few = few.withColumn("side", F.lit(0)).withColumn("across", F.lit(False)).select(*fields(F.col("bucket")))
+        many = pairs(own.withColumn("x", F.explode("heavy")).withColumn("chunks", F.col("x.chunks")), "chunks", F.lit("h"), F.col("x.token"))
+        placed = placed.unionByName(split).unionByName(few).unionByName(many.select(*fields(hot=F.col("x.token"))))
+        marked = own.select("cid", F.col("light").alias("own_light"), F.transform("heavy", lambda x: x["token"]).alias("own_heavy"))
+        rows = rows.join(marked, "cid", "left").select(
+            "cid", "copies", "tokens", F.coalesce("own_light", "light").alias("light"), F.coalesce("own_heavy", "heavy").alias("heavy")
+        )
+    placed = materialize(placed)
+    small = F.broadcast if placed.count() <= FEW_IDS else lambda df: df
+    return rows.join(small(placed), "cid"), buckets
+
+
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every document."""
     spark = docs.sparkSession
@@ -387,10 +516,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = count_shared(docs.where("doc_id is not null"), int(tokens // BUCKET) + 1, size["docs"] // DOCS + 1)
     # A document without an id cannot be credited: it stays a survivor.
     enough = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
-    survivors = signed.join(shared, "doc_id", "left").where((F.col("n") > 0) & (F.col("doc_id").isNull() | (F.col("shared") >= enough)))
+    survivors = signed.join(shared, "doc_id").where((F.col("n") > 0) & (F.col("shared") >= enough)).drop("shared")
+    survivors = survivors.unionByName(signed.where("n > 0 and doc_id is null"))
     key = ["n", "s1", "s2"]
     classes = materialize(
-        survivors.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("cid", F.xxhash64(*key))
+        # Numbers of rows in a written table: distinct, and the same for every reader.
+        survivors.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("cid", F.monotonically_increasing_id())
     )
     few = classes.count() <= FEW_IDS
     small = F.broadcast if few else lambda df: df
@@ -406,34 +537,26 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prefix_n = f"({first_n}) - cast(floor(({least_n} + 4) / 5) as int) + 1"
     rows = sets.select("cid", F.explode(F.expr(f"slice(tokens, 1, {first_n})")).alias("token"))
     df = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    ranked = rows.join(df, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
-    ranked = ranked.join(sets.select("cid", F.expr(first_n).alias("first_n"), F.expr(prefix_n).alias("prefix_n")), "cid")
+    ranked = join_counted(rows, df, ["token"], "df").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
+    ranked = ranked.join(sets.select("cid", "n", F.expr(first_n).alias("first_n"), F.expr(prefix_n).alias("prefix_n")), "cid")
     prefix = materialize(
-        ranked.select("cid", F.explode(F.expr("slice(rare, 1, greatest(prefix_n - (first_n - size(rare)), 0)).token")).alias("token"))
+        ranked.select("cid", "n", F.explode(F.expr("slice(rare, 1, greatest(prefix_n - (first_n - size(rare)), 0)).token")).alias("token"))
     )
-    first = prefix.groupBy("token").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    reach = components(prefix.join(first, "token").select(F.col("cid").alias("a"), "b"))
-
-    sized = reach.join(sets.select("cid", "n"), F.col("cid") == F.col("node"))
-    in_root = sized.groupBy("root").agg(F.sum("n").alias("tokens_in"))
-    dealt = materialize(sized.join(in_root, "root").select("cid", "root", F.ceil(F.col("tokens_in") / BLOCK).cast("int").alias("parts"), "n"))
-    light = dealt.where("parts = 1").agg(F.sum("n").alias("t")).first()["t"] or 0
-    bins = max(spark.sparkContext.defaultParallelism, int(light // BLOCK) + 1)
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    alone = dealt.where("parts = 1").withColumn("block", F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins)))).withColumn("across", F.lit(False))
-    large = dealt.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    large = large.withColumn("block", F.concat_ws("-", F.col("root"), F.least("side", "other"), F.greatest("side", "other"))).withColumn("across", F.col("side") != F.col("other"))
-    fields = ["cid", "block", "side", "across"]
-    placed = sets.join(small(alone.select(*fields).unionByName(large.select(*fields))), "cid").select("block", "cid", "copies", "tokens", "side", "across")
-    found = materialize(block_links(placed))
+    joint = prefix.groupBy("token").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("weight"))
+    joint = materialize(joint.where("k > 1"))
+    reach = components(join_counted(prefix, joint, ["token"], "k").select(F.col("cid").alias("a"), "b"))
+    blocks, buckets = deal(sets, prefix, joint, reach)
+    found = materialize(block_links(blocks, buckets))
 
     linked = components(found.select(F.col("cid").alias("a"), F.col("near").alias("b")))
-    root_of = classes.join(linked, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
-    label = root_of.join(root_of.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cid", "component_id")
+    root_of = materialize(classes.join(linked, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root")))
+    label = materialize(root_of.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    label = join_counted(root_of, label, ["root"], "members").select("cid", "component_id")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     info = classes.join(label, "cid").join(links, "cid", "left").select(*key, "copies", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.join(info, key, "left")
-    return out.select(
+    some = join_counted(signed.where("n > 0"), materialize(info), key, "copies", "left")
+    none = signed.where("n = 0").select(*signed.columns, *[F.lit(None).cast("long").alias(c) for c in ("copies", "component_id", "links")])
+    return some.unionByName(none).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),

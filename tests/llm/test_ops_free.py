@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from graphloom.llm import bestfit, decontam, ngramjoin, secrets, toxicity
+from graphloom.llm import bestfit, common, decontam, ngramjoin, secrets, toxicity
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -169,9 +169,27 @@ def components(rows):
     return collections.Counter((i, len(s), low[top(k)], links[k]) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("block", [2_000_000, 300])
-def test_ngram_join(spark, monkeypatch, block):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), min_size=1, unique=True).map(sorted), min_size=1, max_size=9), st.integers(1, 6), st.integers(0, 30))
+def test_heap_merge(lists, least, last):
+    counts = collections.Counter(x for own in lists for x in own)
+    assert list(ngramjoin.merge_skip(lists, least, last)) == sorted((x, k) for x, k in counts.items() if k >= least and x <= last)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, unique=True).map(sorted), min_size=1, max_size=30))
+def test_t_occurrence(lists):
+    sets = sorted((np.array(x, np.int64) for x in lists), key=len)
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert {(q, p) for q, found in ngramjoin.t_occurrence(sets) for p in found.tolist()} == want
+
+
+@pytest.mark.parametrize("block,hot", [(2_000_000, 100_000), (300, 1), (60, 100_000)])
+def test_ngram_join(spark, monkeypatch, block, hot):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "MOST_HOT", 10_000 if hot > 1 else 20)
+    monkeypatch.setattr(ngramjoin, "FEW_IDS", hot * 10)
     rng, base = random.Random(block), [f"w{k}" for k in range(60)]
     rows = [(1000, None), (1001, ""), (1002, " \n"), (1003, "x y"), (1004, "X  y"), (1005, "x y z"), (1006, "é y"), (1007, "a b c d e"), (1007, "a b c d e")]
     for i in range(120):
@@ -179,6 +197,8 @@ def test_ngram_join(spark, monkeypatch, block):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(60)] = f"x{rng.randrange(4)}"
         rows.append((i, " ".join(w[rng.randint(0, 15) if i % 4 == 0 else 0 :])))
+    for i in range(200, 290):  # a chain: neighbours are near, the ends are not
+        rows.append((i, " ".join(f"c{k}" for k in range(5 * (i - 200), 5 * (i - 200) + 70))))
     d = docs(spark, rows).selectExpr("*", "1 as n", "2 as cid").repartition(5)
     assert collections.Counter(tuple(r) for r in ngramjoin.join_documents(d).collect()) == components(rows)
 
