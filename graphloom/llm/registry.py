@@ -20,7 +20,7 @@ def query(fn):
 
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(urlfilter.seed_labels(table(spark, sf_dir, "pages").select("page_id", "url")), label_col="seed")
 
 
 @query

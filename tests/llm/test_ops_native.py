@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -190,15 +191,105 @@ def test_url_templates_learn(spark):
     rows += [(200 + i, f"http://h.com/word{'abcdefghijklmnopqrstuvwxyz'[i]}x", None) for i in range(26)]
     got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), label_col="bad").collect()}
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(100))
-    assert got[1].template == "/spam/<num>//"
+    assert got[1].template == "/spam/<num>"
 
 
 def test_wide_nodes_become_wildcards(spark):
     rows = [(i, f"http://h.com/user/name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)]
     got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).select("template").distinct().collect()
-    assert [r.template for r in got] == ["/user/*//"]
+    assert [r.template for r in got] == ["/user/*"]
+
+
+def brute_templates(rows):
+    """(host, template, purity, rejected) of each (url, label) by a recursive tree in plain Python."""
+
+    def shape(x):
+        if re.fullmatch("[0-9]+", x):
+            return "<num>"
+        if re.fullmatch(r"[0-9]+\.[A-Za-z]+", x):
+            return re.sub("^[0-9]+", "<num>", x)
+        return "<id>" if re.search("[0-9]", x) else "<slug>" if len(x) > 40 else x
+
+    pages = []
+    for url, label in rows:
+        host, path = re.match("^.*?://([^/?#]*)([^?#]*)", url).groups()
+        parts, depth = [shape(x) for x in path.split("/") if x], urlfilter.DEPTH
+        pages.append((host.lower(), tuple(parts if len(parts) < depth else [*parts[: depth - 1], "/".join(parts[depth - 1 :])]), label))
+    share = lambda own: (sum(x or 0 for *_, x in own), sum(x is not None for *_, x in own))
+    out = {}
+
+    def descend(own, d, name):
+        out.update({(h, s): name for h, s, _ in own if len(s) == d})
+        kids = collections.defaultdict(list)
+        for p in own:
+            if len(p[1]) > d:
+                kids[p[1][d]].append(p)
+        seldom = [k for k, v in kids.items() if len(v) < urlfilter.SELDOM]
+        if len(seldom) > urlfilter.MANY_CHILDREN:
+            for k in seldom:
+                kids["*"] += kids.pop(k)
+        whole, merged = share([p for v in kids.values() for p in v]), collections.defaultdict(list)
+        for k, v in kids.items():
+            (b, n), put = share(v), k
+            rb, rn = whole[0] - b, whole[1] - n
+            if n >= urlfilter.LEAST_LABELS and rn >= urlfilter.LEAST_LABELS:
+                pooled = (b + rb) / (n + rn)
+                if abs(b / n - rb / rn) <= urlfilter.Z * (pooled * (1 - pooled) * (1 / n + 1 / rn)) ** 0.5:
+                    put = "{any}"
+            merged[put] += v
+        for k, v in merged.items():
+            descend(v, d + 1, f"{name}/{k}")
+
+    hosts = collections.defaultdict(list)
+    for p in pages:
+        hosts[p[0]].append(p)
+    for own in hosts.values():
+        descend(own, 0, "")
+    bad, known = share(pages)
+    got = []
+    for h, s, _ in pages:
+        hb, hn = share(hosts[h])
+        mb, mn = share([p for p in hosts[h] if out[h, p[1]] == out[h, s]])
+        prior = (hb + urlfilter.PSEUDO * bad / max(known, 1)) / (hn + urlfilter.PSEUDO)
+        purity = (mb + urlfilter.PSEUDO * prior) / (mn + urlfilter.PSEUDO)
+        got.append((h, out[h, s], round(purity, 9), hn >= urlfilter.LEAST_LABELS and purity >= urlfilter.PURITY))
+    return got
 
 
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_url_tree_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "MOST_HOT", 10_000 if hot > 1 else 20)
+    monkeypatch.setattr(urlfilter, "DEPTH", 4)
+    rng = random.Random(hot)
+    rows = []
+    for i in range(3000):
+        host, top = f"{rng.choice('aab')}.com", rng.choice(["news", "shop", "spam", "tag", "x" * 50])
+        rest = rng.choice([[str(i)], [f"{i}.html"], ["deep", "er", "and", rng.choice("pq"), "end"], [], [f"v{i}", "about"], ["w" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10]]])
+        bad = rng.random() < {"spam": 0.97, "shop": 0.3}.get(top, 0.01) + 0.4 * (rest[:1] > ["w"])
+        rows.append((i, f"http://{host}/{'//'.join([top, *rest])}{rng.choice(['', '/', '?q=1', '#x'])}", int(bad) if i % 4 else None))
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int").repartition(3)
+    got = {r.page_id: (r.host, r.template, r.purity, r.verdict == "block") for r in urlfilter.judge(df, rules=[], label_col="bad").collect()}
+    want = brute_templates([(u, b) for _, u, b in rows])
+    assert got == {i: want[i] for i in range(3000)}
+    names = {w[1] for w in want}
+    assert len(names) > 15 and any("{any}" in x for x in names) and any("*" in x for x in names) and sum(w[3] for w in want) > 100, names
+
+
+def test_url_labels_are_not_the_rules(spark):
+    rows = [(i, f"http://www.casino-win.example.com/en/{i}") for i in range(60)] + [(100 + i, f"http://calm.example.com/en/{i}") for i in range(60)]
+    rows += [(300, "http://www.casino-win.example.net/en/5"), (301, None), (302, "http://a.example.com/" + "z/" * 5000 + "q")]
+    d = urlfilter.seed_labels(spark.createDataFrame(rows, "page_id long, url string"))
+    hidden = {r.page_id for r in d.where("seed is null").collect()}
+    assert hidden == {i for i, u in rows if u is None or zlib.crc32(str(i).encode()) % 3 == 1}
+    got = {r.page_id: r.verdict for r in urlfilter.judge(d, label_col="seed").collect()}
+    assert {got[i] for i in range(60)} == {"block"} and {got[100 + i] for i in range(60)} == {"allow"} and len(hidden & set(range(60))) > 10
+    assert got[300] == got[301] == got[302] == "allow"
+    same = spark.createDataFrame([(1, "http://x.a.b/c/d")], "page_id long, url string")
+    ties = [("allow", "a.b", "/c/"), ("block", "x.a.b", "/c"), ("block", "b", "/c/d"), ("allow", "b", "/c/")]
+    assert urlfilter.judge(same, rules=ties).first().rule == "x.a.b/c"
+    assert urlfilter.judge(same, rules=[("allow", "a.b", "/c"), ("block", "b", "/c/d")]).first().verdict == "block"
+
 def test_pii_zero_parts(spark):
     texts = ["10.0.0.1", "at 0.0.0.0.", "192.168.00.1 and 192.168.0.1", "10.00.1.1 000.0.00.0", "0256.0.0.1 256.0.0.0 0.0.0", "0" * 4000 + ".0.0." + "0" * 4000 + "256"]
     rows = list(enumerate(texts))
