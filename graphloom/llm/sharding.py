@@ -7,7 +7,8 @@ number ``p`` gives ``shard = p mod shards`` and ``slot = p div shards``, so
 shard sizes differ by one row at most, every slot is computable, and the same
 table and seed give the same shuffle whatever its partitioning.
 
-Defined results: a null text counts no bytes (size 8, checksum 0); null ids are
+Defined results: a null text counts no bytes (size 8, checksum 0); a long text
+is measured whole; null ids are
 numbered like others; rows that agree in id, size and checksum are
 interchangeable and each gets a slot of its own; an empty table gives no rows;
 other columns are ignored.
@@ -52,17 +53,22 @@ def permute(x: Column, n: Column, a: Column, b: Column, seed: int) -> Column:
     return F.when(once < n, once).otherwise(checked)
 
 
-def number_rows(rows: DataFrame, keys: list[str], buckets: int = 1024) -> DataFrame:
+#: Rows that a bucket of the numbering holds about, and its least and most buckets.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 100_000, 64, 100_000
+
+
+def number_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``row_no`` (0 to n-1) and ``n_rows`` to a narrow table.
 
-    The number depends on the values of ``keys`` alone: rows go to ``buckets``
-    hash buckets, each bucket is ordered by the keys, and the offsets come from
-    a table of ``buckets`` rows, which bounds what is broadcast.  Equal rows are
-    counted before the shuffle, so copies of one row cannot fill a bucket.
+    The number depends on the values of ``keys`` alone: rows go to hash buckets,
+    as many as the count of rows asks for, each bucket is ordered by the keys,
+    and the offsets come from a table of a row a bucket, ``MOST_BUCKETS`` at
+    most, which bounds what is broadcast.  Equal rows are counted before the
+    shuffle, so copies of one row cannot fill a bucket.
     """
-    counted = materialize(
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    )
+    counted = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")))
+    buckets = min(max(LEAST_BUCKETS, counted.count() // BUCKET_ROWS + 1), MOST_BUCKETS)
+    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     sizes = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_n"))
     offsets = sizes.select(
         "_bucket",
@@ -78,7 +84,7 @@ def number_rows(rows: DataFrame, keys: list[str], buckets: int = 1024) -> DataFr
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and slot of every row: ``id, size, text_crc32, law, shard, slot, grown_shard, row_no``."""
     text = whole_text(text_col)
     narrow = docs.select(
@@ -87,7 +93,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20240, id_col
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     numbered = (
-        number_rows(narrow, [id_col, "size", "text_crc32"], buckets)
+        number_rows(narrow, [id_col, "size", "text_crc32"])
         .withColumn("_a", F.greatest(F.ceil(F.sqrt(F.col("n_rows").cast("double"))), F.lit(1)).cast("long"))
         .withColumn("_b", int_div(F.col("n_rows") + F.col("_a") - 1, F.col("_a")))
     )
