@@ -12,8 +12,11 @@ Base spans (email, ip, card, phone) are always reported.  Further proposals
 are added when their score, raised by context words within ``CONTEXT``
 characters before or after, reaches ``THRESHOLD``.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned
-alike; extra columns stay; an empty table gives an empty table.
+Defined results: null and empty texts have no spans; long texts are scanned
+whole; repeated rows are scanned alike; of matches that overlap within a kind
+the leftmost counts, across kinds all count; extra columns stay, but for those
+whose names begin with ``pii_``, which are left out or replaced; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -152,6 +155,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``pii_email, pii_ip, pii_card, pii_phone`` (base spans) and
     ``pii_more`` (added spans with kind and score)."""
     text = whole_text(text_col)
+    docs = docs.select(*[c for c in docs.columns if not c.startswith("pii_") or c == text_col])
     df = docs.withColumns({f"pii_m_{k}": _spans(text, k) for k in KINDS})
     df = df.withColumns({f"pii_s_{k}": _placed(text, F.col(f"pii_m_{k}"), k) for k in KINDS})
     n = lambda x: F.length(digits_of(x["value"]))
@@ -175,11 +179,25 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The text with emails, addresses and phone numbers replaced by their kind."""
-    out = whole_text(text_col)
-    for kind in ("email", "ip", "phone"):
-        out = F.regexp_replace(out, KINDS[kind][1], f"<{kind}>")
-    return docs.withColumn(text_col, out)
+    """The text with every confirmed span replaced by its kind, ``<email>`` say;
+    of spans that overlap the first one's kind stands for all."""
+    found = find_pii(docs.select(F.struct(*docs.columns).alias("all"), whole_text(text_col).alias("pii_text")).select("all", F.col("pii_text").alias("text")), "text")
+
+    def named(kind: Column | None):
+        return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["kind"] if kind is None else kind).alias("kind"))
+
+    base = [F.transform(f"pii_{k}", named(F.lit(k))) for k in ("email", "ip", "card", "phone")]
+    more = F.transform("pii_more", named(None))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, x):
+        before = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
+        fresh = F.concat(acc["out"], before, F.lit("<"), x["kind"], F.lit(">"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    out = found.withColumn("text", F.aggregate(F.array_sort(F.concat(*base, more)), start, step, rest))
+    return out.select(F.col("all").withField(text_col, F.col("text")).alias("all")).select("all.*")
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
