@@ -32,8 +32,9 @@ Defined results: texts without words (null, empty) have no shingles, no links
 and are a component of their own; fewer than five words form one shingle; rows
 that share an id count as separate documents with one label, and each gets the
 smallest label among the components of that id's rows; long texts are read
-whole; extra columns are ignored; an empty table gives no rows.  A document without an id finds its equals, and
-through them their links; its own id is a label only where no other is there.
+whole; extra columns are ignored; an empty table gives no rows; documents
+without an id are linked like others, and the label of a component of such
+documents alone is null.
 """
 
 from __future__ import annotations
@@ -208,14 +209,16 @@ def count_shared(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
     def spread(batches):
         held, ids, size = [], [], 0
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            no_id = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             bounds, raw = ab.text_buffers(batch.column("text"))
             for first, last in ab.chunks(bounds):
                 for d, tokens in enumerate(shingle_sets(bounds[first : last + 1], raw), first):
                     if not len(tokens):
                         continue
                     held.append((len(ids), tokens))
-                    ids.append(doc_ids[d])
+                    # A document without an id is counted under the sum of its hashes.
+                    ids.append(_signed(tokens.sum(dtype=np.uint64, keepdims=True))[0] if no_id[d] else doc_ids[d])
                     size += len(tokens)
                     if size >= FLUSH or len(ids) == 65535:
                         yield send(pack(held, np.array(ids, np.int64)))
@@ -513,11 +516,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed = materialize(sign_documents(docs))
     size = signed.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).first()
     tokens = size["tokens"] or 0
-    shared = count_shared(docs.where("doc_id is not null"), int(tokens // BUCKET) + 1, size["docs"] // DOCS + 1)
-    # A document without an id cannot be credited: it stays a survivor.
+    shared = count_shared(docs, int(tokens // BUCKET) + 1, size["docs"] // DOCS + 1)
     enough = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
-    survivors = signed.join(shared, "doc_id").where((F.col("n") > 0) & (F.col("shared") >= enough)).drop("shared")
-    survivors = survivors.unionByName(signed.where("n > 0 and doc_id is null"))
+    counted = shared.withColumnRenamed("doc_id", "counted_as")
+    survivors = signed.join(counted, F.coalesce("doc_id", "s1") == F.col("counted_as")).where((F.col("n") > 0) & (F.col("shared") >= enough))
     key = ["n", "s1", "s2"]
     classes = materialize(
         # Numbers of rows in a written table: distinct, and the same for every reader.
@@ -529,6 +531,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = sign_documents(reps, with_tokens=True).join(small(classes), key).select("cid", "n", "copies", "tokens")
     if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
         sets = sets.dropDuplicates(["cid"])
+    nameless = classes.where("rep is null")
+    if not nameless.isEmpty():
+        own = sign_documents(docs.where("doc_id is null"), with_tokens=True).join(nameless, key)
+        sets = sets.unionByName(own.select(*sets.columns).dropDuplicates(["cid"]))
     sets = materialize(sets)
 
     # Tokens are sorted as unsigned numbers, so the first ones are the first by hash.

@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection, no user functions.
 
 Defined results: null and empty texts have no words, fail the base rule and are
-not kept; repeated rows are judged alike; extra columns stay, but one that is
+not kept; long texts are measured whole; of lines and windows that tie the first
+counts as the original; repeated rows are judged alike; extra columns stay, but one that is
 named like a measure or verdict is replaced by it; an empty table gives an
 empty table.
 """

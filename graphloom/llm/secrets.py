@@ -7,8 +7,10 @@ needs to the sorted list of documents that hold it.  A rule's query intersects
 and unites these lists, and only the documents left are verified with the
 expression itself.  Rules without mandatory trigrams scan every document.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned
-alike; extra columns are ignored; an empty table gives no rows.  Places are
+Defined results: null and empty texts have no spans; long texts are scanned
+whole; of matches of one kind that overlap the leftmost counts, across kinds all
+count (ties go by place, then in the order of the kinds); repeated rows are
+scanned alike; extra columns are ignored; an empty table gives no rows.  Places are
 code points, ends exclusive.
 """
 

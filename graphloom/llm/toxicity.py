@@ -16,7 +16,9 @@ hash of their id; scoring reads every whole text.
 Defined results: null and empty texts get the score of a text without matches;
 labels without a value or without a document are ignored; a document with
 several labels counts as toxic if one says so; without labelled documents the
-fixed list and a default curve apply; extra columns are ignored.
+fixed list and a default curve apply; repeated rows get equal scores; entries
+that tie in G are taken in the order of their letters; long texts are scored
+whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ import pytest
 from graphloom.llm import bestfit, common, decontam, ngramjoin, secrets, toxicity
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -255,3 +256,29 @@ def test_pipeline(spark, tmp_path):
     assert kept[3] >= set(range(12)) and 102 not in kept[3] and 102 in kept[2]
     packed = corpus_pipeline.run(spark, str(folder))
     assert {r.doc_id for r in packed.collect()} == kept[3]
+    # Repeated rows, rows without an id, names that the stages use themselves, then no rows at all.
+    odd = d.where("doc_id < 5").unionByName(d.where("doc_id = 3")).unionByName(d.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.selectExpr("*", "1 as kept", "2 as n_words", "3 as ld_removed", "4 as all", "5 as id", "6 as h1", "7 as other", "8 as row", "9 as component_id")
+    for docs_in, left in ((odd, [None, 0, 1, 2, 3, 4]), (odd.limit(0), [])):
+        out = docs_in
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = materialize(stage(spark, out, str(folder)))
+            assert out.columns == odd.columns and {tuple(r)[5:] for r in out.collect()} <= {(1, 2, 3, 4, 5, 6, 7, 8, 9)}
+        assert sorted((r.doc_id for r in out.collect()), key=lambda x: (x is not None, x)) == left
+        assert corpus_pipeline.STAGES[-1][1](spark, out, str(folder)).count() >= len(left)
+
+
+def test_long_and_repeated_texts(spark):
+    """Texts of megabytes, repeated rows and null ids at the operators that read whole texts."""
+    long = " ".join(f"word{i}" for i in range(400_000))
+    rows = [(1, long), (1, long), (2, long + " more"), (None, "a b c d e f"), (3, "a b c d e f"), (None, "q w e r t y u i o p"), (None, "q w e r t y u i o p z"), (None, "alone in here")]
+    d = docs(spark, rows)
+    assert collections.Counter(tuple(r) for r in ngramjoin.join_documents(d).collect()) == collections.Counter(
+        [(1, 399_996, 1, 2), (1, 399_996, 1, 2), (2, 399_997, 1, 2), (None, 2, 3, 1), (3, 2, 3, 1), (None, 6, None, 1), (None, 7, None, 1), (None, 1, None, 0)]
+    )
+    got = toxicity.toxicity(d, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and len({r.score for r in got}) == 1 and not any(r.predicted for r in got)
+    mixed = long + " idiot " * 3
+    lone = secrets.digest(docs(spark, [(1, long + " AKIA" + "B" * 16), (1, None)])).collect()
+    assert sorted(r.n_access for r in lone) == [0, 1]
+    assert toxicity.fold(mixed).count("idiot") == 3
