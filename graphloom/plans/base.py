@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
 from graphloom.plans import views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Queries whose oracle is too slow over the whole graph: it lists all simple paths.
-ROWS_ONLY = {"g7_shortest_path", "g8_execution_path"}
-#: Queries over few nodes, whose form over the whole graph is written out.
-WRITTEN_OUT = {"g14_strong_components"}
-
-
 def query(sql: str | None = None, *names: str):
-    """Registers a function under its name; ``names`` are the views that it and its oracle read.
-
-    A query over ``v_edges`` is also registered as ``..._full``, over all edges.
-    """
+    """Registers a function under its name; ``names`` are the views that its oracle reads."""
 
     def add(fn):
         QUERIES[fn.__name__] = fn
         if sql:
             ORACLES[fn.__name__] = views.with_views(sql, *names)
-        if "v_edges" in names and fn.__name__ not in WRITTEN_OUT:
-            _add_full(fn)
         return fn
 
-    def _add_full(fn):
-        @wraps(fn)
-        def full(spark, sf_dir):
-            with views.whole_graph():
-                return fn(spark, sf_dir)
-
-        full.__name__ = f"{fn.__name__}_full"
-        QUERIES[full.__name__] = full
-        if sql and fn.__name__ not in ROWS_ONLY:
-            with views.whole_graph():
-                ORACLES[full.__name__] = views.with_views(sql, *names)
-
     return add

@@ -131,10 +131,18 @@ def g10_change_surface(spark, sf_dir):
     return graph.change_surface(graph.seeds_of(spark, [7, 13]), view(spark, sf_dir, "v_edges"), 3)
 
 
-PATHS = """WITH RECURSIVE h AS (SELECT DISTINCT src, dst FROM v_edges),
-  p AS (SELECT CAST(11 AS BIGINT) AS node, [CAST(11 AS BIGINT)] AS path UNION ALL
-        SELECT h.dst, list_append(p.path, h.dst) FROM p JOIN h ON h.src = p.node WHERE len(p.path) < 6 AND NOT list_contains(p.path, h.dst) AND NOT list_contains(p.path, 30)),
-  s AS (SELECT path FROM p WHERE node = 30 ORDER BY len(path), path LIMIT 1)"""
+def _paths(levels: int = 6) -> str:
+    """The smallest path to each node by its number of steps, a table a level; the first that ends in 30."""
+    out = "WITH h AS (SELECT DISTINCT src, dst FROM v_edges), p0 AS (SELECT CAST(11 AS BIGINT) AS node, [CAST(11 AS BIGINT)] AS path)"
+    for i in range(levels):
+        seen = " UNION ALL ".join(f"SELECT node FROM p{k}" for k in range(i + 1))
+        out += f""", p{i + 1} AS MATERIALIZED (SELECT h.dst AS node, min(list_append(path, h.dst)) AS path FROM p{i} JOIN h ON h.src = p{i}.node
+          WHERE h.dst NOT IN ({seen}) GROUP BY 1)"""
+    every = " UNION ALL ".join(f"SELECT path FROM p{k} WHERE node = 30" for k in range(levels + 1))
+    return out + f", s AS (SELECT path FROM ({every}) ORDER BY len(path) LIMIT 1)"
+
+
+PATHS = _paths()
 
 
 @query(PATHS + " SELECT array_to_string(path, '>') AS path, len(path) - 1 AS distance FROM s", "v_edges")
@@ -169,7 +177,7 @@ def g9_entry_points(spark, sf_dir):
 
 def _pagerank_sql(k: int) -> str:
     steps = "".join(
-        f""", r{i + 1} AS (SELECT n.node, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM n CROSS JOIN c
+        f""", r{i + 1} AS MATERIALIZED (SELECT n.node, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM n CROSS JOIN c
         CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE node NOT IN (SELECT src FROM o)) AS l
         LEFT JOIN (SELECT v.dst, sum(r.rank / o.k) AS got FROM v_edges AS v JOIN r{i} AS r ON r.node = v.src JOIN o ON o.src = v.src GROUP BY v.dst) AS g ON g.dst = n.node)"""
         for i in range(k)
@@ -179,35 +187,42 @@ def _pagerank_sql(k: int) -> str:
       SELECT node, round(rank, 9) AS rank FROM r{k}"""
 
 
-@query(_pagerank_sql(4), "v_edges")
+@query(_pagerank_sql(20), "v_edges")
 def g11_pagerank(spark, sf_dir):
-    return graph.pagerank(view(spark, sf_dir, "v_edges"), 4).select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(view(spark, sf_dir, "v_edges")).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query(_pagerank_sql(4) + " WHERE node = 7", "v_edges")
+@query(_pagerank_sql(20) + " WHERE node = 7", "v_edges")
 def g12_node_pagerank(spark, sf_dir):
-    return graph.pagerank(view(spark, sf_dir, "v_edges"), 4).where("node = 7").select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(view(spark, sf_dir, "v_edges")).where("node = 7").select("node", F.round("rank", 9).alias("rank"))
 
 
-@query(None, "v_edges")
+def _communities_sql(k: int) -> str:
+    steps = "".join(
+        f""", v{i} AS MATERIALIZED (SELECT b.src AS node, l.label AS vote, sum(b.w) AS w FROM b JOIN l{i} AS l ON l.node = b.dst GROUP BY ALL),
+        t{i} AS (SELECT v.node, v.vote FROM v{i} AS v JOIN (SELECT node, max(w) AS top FROM v{i} GROUP BY node) AS m ON m.node = v.node AND v.w = m.top),
+        l{i + 1} AS MATERIALIZED (SELECT l.node, CASE WHEN bool_or(t.vote = l.label) THEN l.label ELSE coalesce(min(t.vote), l.label) END AS label
+          FROM l{i} AS l LEFT JOIN t{i} AS t ON t.node = l.node GROUP BY l.node, l.label)"""
+        for i in range(k)
+    )
+    return f"""WITH b AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, weight AS w FROM v_edges UNION ALL SELECT dst, src, weight FROM v_edges) GROUP BY ALL),
+      l0 AS (SELECT DISTINCT src AS node, src AS label FROM b){steps}, h AS (SELECT label, row_number() OVER (ORDER BY min(node)) - 1 AS community FROM l{k} GROUP BY label)
+      SELECT node, community FROM l{k} JOIN h USING (label)"""
+
+
+@query(_communities_sql(10), "v_edges")
 def g13_communities(spark, sf_dir):
-    return graph.communities(view(spark, sf_dir, "v_edges"), 5)
+    return graph.communities(view(spark, sf_dir, "v_edges"))
 
 
 @query(
-    """WITH RECURSIVE h AS (SELECT DISTINCT src, dst FROM v_edges WHERE src <= 60 AND dst <= 60), n AS (SELECT src AS node FROM h UNION SELECT dst FROM h),
+    """WITH RECURSIVE h AS (SELECT DISTINCT src, dst FROM v_edges), n AS (SELECT src AS node FROM h UNION SELECT dst FROM h),
       w AS (SELECT node AS a, node AS b FROM n UNION SELECT w.a, h.dst FROM w JOIN h ON h.src = w.b)
     SELECT x.a AS node, min(x.b) AS component FROM w AS x JOIN w AS y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
     "v_edges",
 )
 def g14_strong_components(spark, sf_dir):
-    return graph.strong_components(view(spark, sf_dir, "v_edges").where("src <= 60 and dst <= 60"))
-
-
-@query()
-def g14_strong_components_full(spark, sf_dir):
-    """All components of the whole graph; the query before it has the nodes that an oracle's closure can bear."""
-    return graph.strong_components(view(spark, sf_dir, "v_edges_full"))
+    return graph.strong_components(view(spark, sf_dir, "v_edges"))
 
 
 @query(

@@ -406,16 +406,10 @@ def r6_semantic_search(spark, sf_dir):
     return search.semantic(e, query_vector, 20, "vec_id", "embedding").select("vec_id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT doc_id, CAST(1 + len(regexp_extract_all(code, '\\b(if|for|while|catch|case|elif)\\b|&&|\\|\\|')) AS BIGINT) AS complexity FROM (SELECT doc_id, concat(text, chr(10), 'if (a && b) for case ', repeat('while ', CAST(doc_id % 9 AS INTEGER))) AS code FROM documents WHERE text NOT LIKE '%?%')")
+@query("""SELECT doc_id, CAST(1 + len(regexp_extract_all(code, '\\b(if|for|while|catch|case|elif)\\b|&&|\\|\\||\\?\\?|\\?')) - len(regexp_extract_all(replace(code, '??', ''), '\\?\\.')) AS BIGINT) AS complexity
+    FROM (SELECT doc_id, concat(coalesce(text, ''), chr(10), 'if (a && b) for case ', repeat('while ', CAST(doc_id % 9 AS INTEGER))) AS code FROM documents)""")
 def x18_text_complexity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").contains("?"))
-    code = F.concat("text", F.lit("\nif (a && b) for case "), F.repeat(F.lit("while "), (F.col("doc_id") % 9).cast("int")))
-    return d.select("doc_id", sc.complexity(code).alias("complexity"))
-
-
-@query()
-def x18_text_complexity_full(spark, sf_dir):
-    """Of every document, those with ``?`` included, which the SQL above cannot count."""
+    """A ``?`` counts unless a point follows, ``??`` once."""
     code = F.concat(F.coalesce("text", F.lit("")), F.lit("\nif (a && b) for case "), F.repeat(F.lit("while "), (F.col("doc_id") % 9).cast("int")))
     return table(spark, sf_dir, "documents").select("doc_id", sc.complexity(code).alias("complexity"))
 

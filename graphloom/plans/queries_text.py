@@ -284,15 +284,13 @@ def n15_health(spark, sf_dir):
     return one.withColumn("score", sc.half_up((F.lit(100.0) + cover) / 2, 1))
 
 
-@query("SELECT file_id, concat('[', 'the', ']') AS marked FROM v_files WHERE regexp_matches(content, '(^|\\s)the(\\s|$)') AND file_id < 20", "v_files")
+@query(
+    """WITH w AS (SELECT file_id, string_split_regex(content, '[ \\t\\n\\x0B\\f\\r]+') AS w FROM v_files),
+    h AS (SELECT file_id, w, greatest(coalesce(list_position(list_transform(w, lambda x: contains(lower(x), 'the')), true), 1) - 17, 0) AS a FROM w)
+    SELECT file_id, regexp_replace(array_to_string(w[a + 1:a + 32], ' '), '(the)', '[\\1]', 'gi') AS snippet FROM h""",
+    "v_files",
+)
 def x26_snippet(spark, sf_dir):
-    f = view(spark, sf_dir, "v_files").where(F.col("content").rlike(r"(^|\s)the(\s|$)") & (F.col("file_id") < 20))
-    s = search.snippet(F.col("content"), "the")
-    return f.select("file_id", F.regexp_extract(s, r"(\[the\])", 1).alias("marked"))
-
-
-@query()
-def x26_snippet_full(spark, sf_dir):
     """The snippet of every file."""
     return view(spark, sf_dir, "v_files").select("file_id", search.snippet(F.col("content"), "the").alias("snippet"))
 

@@ -5,9 +5,6 @@ The text of each view is SQL that Spark and the oracle engine both run.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,18 +24,12 @@ VIEWS: dict[str, str] = {
                      WHEN 4 THEN 'src/shared' WHEN 5 THEN 'packages/auth/lib' WHEN 6 THEN 'tests/unit' WHEN 7 THEN 'packages/billing/lib' ELSE 'dist/bundle' END AS dir
             FROM documents) AS a) AS b""",
     # Dependencies between parts that follow each other in an order.
-    "v_edges_full": """
+    "v_edges": """
         SELECT src, dst, kind, symbol, weight, confidence FROM (
           SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst,
                  CASE l_returnflag WHEN 'A' THEN 'import' WHEN 'N' THEN 'implements' ELSE 'export' END AS kind,
                  l_linestatus AS symbol, l_quantity AS weight, 1 - l_discount AS confidence
           FROM lineitem) AS s WHERE dst IS NOT NULL""",
-    "v_edges": """
-        SELECT src, dst, kind, symbol, weight, confidence FROM (
-          SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst,
-                 CASE l_returnflag WHEN 'A' THEN 'import' WHEN 'N' THEN 'implements' ELSE 'export' END AS kind,
-                 l_linestatus AS symbol, l_quantity AS weight, 1 - l_discount AS confidence, l_discount
-          FROM lineitem) AS s WHERE dst IS NOT NULL AND (src % 10 = 0 OR l_discount >= 0.095)""",
     # Dependencies between files: a tree by halving, and some links back.
     "v_edges_doc": """
         SELECT a.relative_path AS src, b.relative_path AS dst, l.kind, l.symbol, l.confidence
@@ -78,9 +69,6 @@ VIEWS: dict[str, str] = {
         SELECT c_nationkey AS service_id, concat('https://Gateway.example.com/api/', n_name, '/', CASE c_custkey % 4 WHEN 0 THEN 'LIST' WHEN 1 THEN concat('item', c_custkey % 5) ELSE concat('', c_custkey) END, '/?v=1') AS path
         FROM customer JOIN nation ON n_nationkey = (c_nationkey + c_custkey) % 25""",
 }
-#: What v_edges is where a query runs over the whole graph.
-FULL = {"v_edges": "v_edges_full"}
-_full = ContextVar("full", default=False)
 #: Views that a view reads.
 NEEDS = {"v_edges_doc": ["v_files"]}
 
@@ -89,20 +77,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def whole_graph():
-    """Within it ``v_edges`` stands for all edges of ``v_edges_full``."""
-    token = _full.set(True)
-    try:
-        yield
-    finally:
-        _full.reset(token)
-
-
-def text_of(name: str) -> str:
-    return VIEWS[FULL.get(name, name) if _full.get() else name]
-
-
 def _order(names) -> list[str]:
     out: list[str] = []
     for name in names:
@@ -118,7 +92,7 @@ def use(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
     out = {}
     for name in _order(names):
-        out[name] = spark.sql(text_of(name))
+        out[name] = spark.sql(VIEWS[name])
         out[name].createOrReplaceTempView(name)
     return [out[n] for n in names]
 
@@ -129,7 +103,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """Oracle SQL: the query with the views it needs in front."""
-    head = ", ".join(f"{n} AS ({text_of(n)})" for n in _order(names))
+    head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in _order(names))
     sql = sql.strip()
     if not head:
         return sql

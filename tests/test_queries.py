@@ -48,41 +48,19 @@ def test_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() >= 0
 
 
-def test_full_queries_see_every_edge(spark):
+def test_queries_see_every_edge(spark):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
-    every, thin = (con.execute(f"select count(*) from ({VIEWS[v]})").fetchone()[0] for v in ("v_edges_full", "v_edges"))
+    every = con.execute("select count(*) - count(distinct l_orderkey) from lineitem").fetchone()[0]
     one = lambda name: registry.QUERIES[name](spark, SF)
-    assert one("g1_graph_counts_full").first()["edges"] == one("a3_graph_summary_full").first()["edges"] == every > 5 * thin
-    assert one("g1_graph_counts").first()["edges"] == thin
-    assert {r.what: r.n for r in one("a1_counts_full").collect()}["edges"] == every
-    assert one("g11_pagerank_full").count() == one("g1_graph_counts_full").first()["nodes"]
-    own = {"n14_report", "g13_communities", "g7_shortest_path", "g8_execution_path"}
-    over = {n for n, sql in registry.ORACLES.items() if "v_edges AS (" in sql and not n.endswith("_full")} | own
-    assert {f"{n}_full" for n in over - {"g14_strong_components"}} <= set(registry.QUERIES)
+    assert one("g1_graph_counts").first()["edges"] == one("a3_graph_summary").first()["edges"] == every
+    assert {r.what: r.n for r in one("a1_counts").collect()}["edges"] == every
 
 
-def test_full_paths(spark):
+def test_strong_components(spark):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
-    after = collections.defaultdict(set)
-    for a, b in con.execute(f"select distinct src, dst from ({VIEWS['v_edges_full']})").fetchall():
-        after[a].add(b)
-    seen, frontier = {11}, [(11,)]
-    while frontier and not (found := [p for p in frontier if p[-1] == 30]):
-        step = sorted((*p, x) for p in frontier for x in after[p[-1]] if x not in seen)
-        frontier = list({p[-1]: p for p in reversed(step)}.values())
-        seen |= {p[-1] for p in frontier}
-    rows = registry.QUERIES["g7_shortest_path_full"](spark, SF).collect()
-    assert found and [tuple(r) for r in rows] == [(">".join(map(str, found[0])), len(found[0]) - 1)]
-    steps = registry.QUERIES["g8_execution_path_full"](spark, SF).orderBy("step").collect()
-    assert [(s.src, s.dst) for s in steps] == list(zip(found[0], found[0][1:]))
-
-
-def test_full_strong_components(spark):
-    con = duckdb.connect()
-    con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
-    pairs = con.execute(f"select distinct src, dst from ({VIEWS['v_edges_full']})").fetchall()
+    pairs = con.execute(f"select distinct src, dst from ({VIEWS['v_edges']})").fetchall()
     ahead, behind = collections.defaultdict(set), collections.defaultdict(set)
     for a, b in pairs:
         ahead[a].add(b)
@@ -100,7 +78,7 @@ def test_full_strong_components(spark):
     for x in sorted({x for p in pairs for x in p}):
         if x not in want:
             want |= dict.fromkeys(walk(x, ahead) & walk(x, behind), x)
-    rows = [tuple(r) for r in registry.QUERIES["g14_strong_components_full"](spark, SF).collect()]
+    rows = [tuple(r) for r in registry.QUERIES["g14_strong_components"](spark, SF).collect()]
     assert len(rows) == len(want) and dict(rows) == want and max(want) > 60
 
 
@@ -129,9 +107,9 @@ def test_packs_of_all_turns_and_conversations(spark, tmp_path):
 def test_all_files_have_snippets_and_complexity(spark, tmp_path):
     texts = {i: t for i, t in enumerate(["a ? b : c ?? d?.e", "so THE other the", None, "", "no hit", *["x " * 40 + f"the {i}" for i in range(30)]])}
     sf = small(spark, tmp_path, documents=spark.createDataFrame([(i, t, "en", "web") for i, t in texts.items()], "doc_id long, text string, lang string, source string"))
-    got = {r.doc_id: r.complexity for r in registry.QUERIES["x18_text_complexity_full"](spark, sf).collect()}
+    got = {r.doc_id: r.complexity for r in registry.QUERIES["x18_text_complexity"](spark, sf).collect()}
     branch = re.compile(r"\b(if|for|while|catch|case|elif)\b|&&|\|\||\?\?|\?(?!\.)")
     assert got == {i: 1 + len(branch.findall(f"{t or ''}\nif (a && b) for case " + "while " * (i % 9))) for i, t in texts.items()}
-    marks = {r.file_id: r.snippet for r in registry.QUERIES["x26_snippet_full"](spark, sf).collect()}
+    marks = {r.file_id: r.snippet for r in registry.QUERIES["x26_snippet"](spark, sf).collect()}
     assert set(marks) == set(texts) and marks[1] == "so [THE] o[the]r [the]" and marks[2] is None and marks[4] == "no hit"
     assert all(marks[i].endswith(f"x [the] {i - 5}") for i in range(5, 35))
