@@ -135,6 +135,15 @@ def api_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.size(pa) == F.size(pb)) & F.forall(F.zip_with(pa, pb, lambda x, y: (x == y) | wild(x) | wild(y)), lambda x: x)
 
 
+#: A string, or a comment (the group is the line's end that stays).
+JSON_TOKEN = r"(\"(?:\\(?s:.)|[^\"\\])*+\"|'(?:\\(?s:.)|[^'\\])*+')|//[^\n\r]*+|(?s:/\*.*?(?:\*/|$))"
+
+
+def strip_json_comments(text: Column) -> Column:
+    """JSON without line and block comments and without commas before a closing bracket; strings stay."""
+    return F.regexp_replace(F.regexp_replace(text, JSON_TOKEN, "$1"), r",\s*([\]}])", "$1")
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-")
 

@@ -9,13 +9,13 @@ one round.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import half_up
+from graphloom.sources.store import shared_home
 
 #: Fixed value: ends of the names of files where requests come in.
 INGRESS = r"(?i)(index|main|app|server|cli|command|route|controller)\.(ts|js|py|go|rs)$"
@@ -24,10 +24,10 @@ TESTS = r"(?i)(test|spec|__tests__)"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir`` (or a temporary folder when it is unset)."""
+    """A reliable checkpoint in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(shared_home(df.sparkSession))
     return df.checkpoint()
 
 

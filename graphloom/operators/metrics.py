@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import files
-from graphloom.functions.scalars import api_match, api_path, half_up
+from graphloom.functions.scalars import api_path, half_up
 
 
 def node_metrics(edges: DataFrame) -> DataFrame:
@@ -141,21 +141,64 @@ def clean_score(violations: DataFrame, n_files: int) -> DataFrame:
 def service_edges(services: DataFrame, exports: DataFrame, consumes: DataFrame) -> DataFrame:
     """API edges between services: ``src, dst, endpoint``, where a consumed path fits an exported one.
 
-    Exact paths join on themselves; wildcard paths join on the number of
-    segments and their first two literal segments, so no pair of unrelated
-    endpoints is formed.
+    A segment ``:x`` or ``{x}`` of either side fits any segment.  Paths have a
+    shape: how many segments, and which are wild.  For every pair of shapes that
+    occur, the segments that neither has wild must be equal, so that is an equal
+    join and no pair of unrelated endpoints is formed.
     """
-    segs = lambda c: F.split(c, "/")
     offered = exports.select(F.col("service_id").alias("dst"), api_path(F.col("path")).alias("offer")).distinct()
     wanted = consumes.select(F.col("service_id").alias("src"), api_path(F.col("path")).alias("endpoint")).distinct()
-    wild = lambda c: c.rlike(r"/[:{]")
-    exact = wanted.join(offered, F.col("endpoint") == F.col("offer"))
-    key = [F.size(segs(F.col("offer"))), F.get(segs(F.col("offer")), F.lit(2))]
-    key2 = [F.size(segs(F.col("endpoint"))), F.get(segs(F.col("endpoint")), F.lit(2))]
-    loose = wanted.join(
-        offered.where(wild(F.col("offer"))), (key[0] == key2[0]) & (key[1] == key2[1]) & api_match(F.col("offer"), F.col("endpoint"))
-    )
-    return exact.unionByName(loose).where("src <> dst").select("src", "dst", "endpoint").distinct()
+    shaped = []
+    for df, c in ((offered, "offer"), (wanted, "endpoint")):
+        segs = F.split(F.col(c), "/")
+        shape = F.array_join(F.transform(segs, lambda x: F.when(x.startswith(":") | x.startswith("{"), "*").otherwise("=")), "")
+        shaped.append(df.where(F.col(c) != "").withColumns({f"{c}_shape": shape, "size": F.size(segs)}))
+    offered, wanted = shaped
+    both = offered.select("size", "offer_shape").distinct().join(wanted.select("size", "endpoint_shape").distinct(), "size")
+
+    def fixed(c: str):
+        return F.array_join(
+            F.transform(
+                F.split(F.col(c), "/"),
+                lambda x, i: F.when((F.substring(F.col("offer_shape"), i + 1, F.lit(1)) == "*") | (F.substring(F.col("endpoint_shape"), i + 1, F.lit(1)) == "*"), "*").otherwise(F.concat(F.lit("="), x)),
+            ),
+            "/",
+        )
+
+    a = offered.join(both, ["size", "offer_shape"]).select("dst", "offer_shape", "endpoint_shape", fixed("offer").alias("key"))
+    b = wanted.join(both, ["size", "endpoint_shape"]).select("src", "endpoint", "offer_shape", "endpoint_shape", fixed("endpoint").alias("key"))
+    return b.join(a, ["offer_shape", "endpoint_shape", "key"]).where("src <> dst").select("src", "dst", "endpoint").distinct()
+
+
+def health_checks(index_state: DataFrame, files: DataFrame, edges: DataFrame, rules: DataFrame, conflicts: DataFrame, symbols: DataFrame, intact: bool = True) -> DataFrame:
+    """``check, status, score``: index, files, dependencies, rules, integrity, coverage of symbols.
+
+    ``files``: path, language; ``symbols``: path; the others are only counted.
+    """
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    code = files.where(F.col("language").isin("typescript", "javascript"))
+    covered = code.join(symbols.select("path").distinct(), "path", "left_semi")
+    one = n(index_state, "index")
+    for df, name in ((files, "files"), (edges, "edges"), (rules, "rules"), (conflicts, "conflicts"), (code, "code"), (covered, "covered")):
+        one = one.join(F.broadcast(n(df, name)))  # one row each
+    share = F.when(F.col("code") == 0, 100.0).otherwise(half_up(F.col("covered") / F.greatest(F.col("code"), F.lit(1)) * 100, 0))
+    row = lambda check, status, score: F.struct(F.lit(check).alias("check"), status.alias("status"), score.cast("double").alias("score"))
+    verdict = lambda bad, low, high, level: (F.when(bad, level).otherwise("pass"), F.when(bad, low).otherwise(high))
+    rule_state = F.when((F.col("rules") == 0) | (F.col("conflicts") > 0), "warn").otherwise("pass")
+    checks = [
+        row("Index", *verdict(F.col("index") == 0, 0, 95, "fail")),
+        row("Files", *verdict(F.col("files") == 0, 0, 100, "fail")),
+        row("Dependencies", *verdict((F.col("edges") == 0) & (F.col("files") > 5), 50, 90, "warn")),
+        row("Rules", rule_state, F.when(F.col("rules") == 0, 60).when(F.col("conflicts") > 0, 70).otherwise(95)),
+        row("Integrity", *verdict(F.lit(not intact), 0, 100, "fail")),
+        row("Coverage", F.when(share > 80, "pass").otherwise("warn"), share),
+    ]
+    return one.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+
+
+def health(checks: DataFrame) -> DataFrame:
+    """One row: the rounded mean of the checks' scores."""
+    return checks.agg(F.floor(F.avg("score") + 0.5).cast("long").alias("score"))
 
 
 def top_complexity(symbols: DataFrame, k: int) -> DataFrame:

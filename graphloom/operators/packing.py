@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as sc
@@ -178,7 +178,7 @@ def export(pack_files: DataFrame, rules: list[str], task: str, layout: str = "pl
     return body.select(*by, F.concat(F.lit(head + "\n\n" if head else ""), text).alias("document"))
 
 
-def mermaid(cycle: list[str]) -> str:
-    """A cycle as a flow chart; the last node also points back to the first."""
-    edges = [f"  {a} --> {b}" for a, b in zip(cycle, cycle[1:])]
-    return "\n".join(["graph TD", *edges, f"  {cycle[-1]} --> {cycle[0]}"])
+def mermaid(cycle: Column) -> Column:
+    """A cycle (an array of texts) as a flow chart; the last node also points back to the first."""
+    after = F.concat(F.slice(cycle, 2, F.greatest(F.size(cycle) - 1, F.lit(0))), F.slice(cycle, 1, 1))
+    return F.concat(F.lit("graph TD\n"), F.array_join(F.zip_with(cycle, after, lambda x, y: F.concat(F.lit("  "), x, F.lit(" --> "), y)), "\n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import files as ff
@@ -33,13 +33,16 @@ def propose_rules(evidence: DataFrame) -> DataFrame:
     return hit.where("name not in ('vitest', 'jest')").unionByName(runner).select("rule_id", "category", "position")
 
 
-def sync_block(existing: str, block: str) -> str:
+def sync_block(existing: Column, block: Column) -> Column:
     """A text with the block between the markers replaced, or added at its end."""
-    full = f"{START}\n{block.strip()}\n{END}"
-    a, b = existing.find(START), existing.find(END)
-    if a != -1 and b >= a:
-        return (existing[:a].rstrip() + "\n\n" + full + "\n\n" + existing[b + len(END) :].lstrip()).strip() + "\n"
-    return (existing.rstrip() + "\n\n" if existing.strip() else "") + full + "\n"
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    end = lambda x: F.regexp_replace(x, r"\s+$", "")
+    full = F.concat(F.lit(START + "\n"), bare(block), F.lit("\n" + END))
+    a, b = F.instr(existing, START), F.instr(existing, END)
+    before, behind = F.substring(existing, F.lit(1), a - 1), F.substring(existing, b + len(END), F.length(existing))
+    inside = F.concat(bare(F.concat_ws("\n\n", end(before), full, F.regexp_replace(behind, r"^\s+", ""))), F.lit("\n"))
+    added = F.concat(F.when(bare(existing) != "", F.concat(end(existing), F.lit("\n\n"))).otherwise(""), full, F.lit("\n"))
+    return F.when((a > 0) & (b >= a), inside).otherwise(added)
 
 
 def architecture_block(files: DataFrame, symbols: int, edges: int, cycles: int, path: str = "relative_path") -> DataFrame:
@@ -82,18 +85,18 @@ def diagnostics(cycles: DataFrame, violations: DataFrame, lines: DataFrame) -> D
     return hits.groupBy("path", "target", "severity").agg(F.coalesce(F.min("at"), F.lit(0)).cast("long").alias("line_no"))
 
 
-def file_tree(paths: list[str]) -> str:
-    """Sorted paths as an indented tree."""
-    root: dict = {}
-    for p in paths:
-        at = root
-        for part in p.split("/"):
-            at = at.setdefault(part, {})
+def file_tree(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``position, line``: sorted paths as an indented tree, folders with a slash.
 
-    def show(node: dict, depth: int) -> list[str]:
-        return [x for name in sorted(node) for x in ["  " * depth + name + ("/" if node[name] else ""), *show(node[name], depth + 1)]]
-
-    return "\n".join(show(root, 0))
+    Every beginning of a path is a row; sorting these as arrays of names is the
+    order of the tree.
+    """
+    parts = F.split(F.col(path), "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.slice(parts, F.lit(1), k).alias("at"), (k < F.size(parts)).alias("folder")))
+    rows = paths.select(F.explode(heads).alias("h")).select("h.*").groupBy("at").agg(F.max("folder").alias("folder"))
+    line = F.concat(F.repeat(F.lit("  "), F.size("at") - 1), F.element_at("at", -1), F.when(F.col("folder"), "/").otherwise(""))
+    ordered = rows.withColumn("position", F.row_number().over(Window.orderBy("at")))  # names of a pack, not of a corpus
+    return ordered.select(F.col("position").cast("long").alias("position"), line.alias("line"))
 
 
 def cycle_fixes(cycles: DataFrame) -> DataFrame:
@@ -108,9 +111,62 @@ def insights(dead_files: DataFrame, dead_symbols: DataFrame, cycles: DataFrame)
 
 
 def valid_syntax(files: DataFrame) -> DataFrame:
-    """``path, valid``: brackets that close; languages without a rule are valid."""
+    """``path, valid``: brackets that close in the right order; languages without a rule are valid.
+
+    Comments and strings go first; a fold over the brackets alone keeps the open ones.
+    """
     code = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/|//[^\n]*|#[^\n]*", ""), r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", "")
-    count = lambda c: F.length(code) - F.length(F.replace(code, F.lit(c), F.lit("")))
     known = F.col("language").isin("typescript", "javascript", "python", "go", "rust", "java", "csharp", "cpp", "c", "php")
-    even = (count("(") == count(")")) & (count("[") == count("]")) & (count("{") == count("}"))
-    return files.select("path", F.when(known, even).otherwise(True).alias("valid"))
+    brackets = F.filter(F.split(F.regexp_replace(code, r"[^()\[\]{}]", ""), ""), lambda c: c != "")
+
+    def step(acc, c):
+        opens = F.substring(acc, 1, 1)
+        pair = F.concat(opens, c).isin("()", "[]", "{}")
+        closes = F.when(pair, F.substring(acc, 2, 2**30)).otherwise(F.concat(F.lit("!"), acc))
+        return F.when(acc.startswith("!"), acc).when(c.isin("(", "[", "{"), F.concat(c, acc)).otherwise(closes)
+
+    return files.select("path", F.when(known, F.aggregate(brackets, F.lit(""), step) == "").otherwise(True).alias("valid"))
+
+
+def health_tree(layers: DataFrame, cycles: DataFrame, dead: DataFrame, most_cycles: int = 20, most_dead: int = 30) -> DataFrame:
+    """``section, position, label, n``: layers with their sizes, the first cycles, the first dead files.
+
+    ``layers``: layer, files; ``cycles``: cycle (text); ``dead``: path.
+    """
+
+    def first(df: DataFrame, section: str, label, n, most: int | None, *order) -> DataFrame:
+        top = df.orderBy(*order).limit(most) if most else df
+        rows = top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        return rows.select(F.lit(section).alias("section"), "position", label.alias("label"), n.cast("long").alias("n"))
+
+    none = F.lit(None)
+    return (
+        first(layers.where("layer is not null"), "layers", F.col("layer"), F.col("files"), None, "layer")
+        .unionByName(first(cycles, "cycles", F.col("cycle"), none, most_cycles, "cycle"))
+        .unionByName(first(dead, "dead files", F.col("path"), none, most_dead, "path"))
+    )
+
+
+def leaderboard(results: DataFrame) -> DataFrame:
+    """One row ``document``: a table of tasks and their averages in markdown, by data set.
+
+    ``results``: dataset, task, recall, precision (0 to 1), tokens, savings (%), ms.
+    """
+    cell = lambda x: F.floor(x + 0.5).cast("long").cast("string")
+    percent = lambda x: F.concat(cell(x * 100), F.lit("%"))
+    row = F.concat_ws(" | ", F.concat(F.lit("| "), "task"), percent(F.col("recall")), percent(F.col("precision")), F.format_number("tokens", 0), F.concat(cell(F.col("savings")), F.lit("%")), F.concat(cell(F.col("ms")), F.lit(" ms |")))
+    mean = F.concat_ws(" | ", F.lit("| all tasks"), percent(F.avg("recall")), percent(F.avg("precision")), F.lit("-"), F.concat(cell(F.avg("savings")), F.lit("%")), F.concat(cell(F.avg("ms")), F.lit(" ms |")))
+    tables = results.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("task", row.alias("line")))).alias("rows"), mean.alias("mean"))
+    head = F.concat(F.lit("## "), "dataset", F.lit("\n\n| Task | Recall | Precision | Tokens | Savings | Latency |\n| - | - | - | - | - | - |\n"))
+    text = F.concat(head, F.array_join(F.transform("rows", lambda x: x["line"]), "\n"), F.lit("\n"), "mean", F.lit("\n"))
+    return tables.agg(F.sort_array(F.collect_list(F.struct("dataset", text.alias("t")))).alias("t")).select(F.array_join(F.transform("t", lambda x: x["t"]), "\n").alias("document"))
+
+
+def report(parts: dict[str, DataFrame]) -> DataFrame:
+    """``report, metric, value`` from sub-reports of one row each; a broken one breaks the report."""
+    out = None
+    for name, df in parts.items():
+        values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])
+        part = df.select(F.lit(name).alias("report"), F.explode(values).alias("v")).select("report", "v.*")
+        out = part if out is None else out.unionByName(part)
+    return out

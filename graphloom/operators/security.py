@@ -38,33 +38,39 @@ def redact(text: Column, custom=()) -> Column:
     return text
 
 
+def _places(text: Column, name: str, pattern: str) -> Column:
+    """Findings of one pattern: array<struct<secret, line, column, value>>.
+
+    The places follow from the pieces that a split leaves: a fold over them
+    keeps the line and the column, so a text is held once, not once a finding.
+    """
+    kind = "array<struct<secret:string,line:bigint,column:bigint,value:string>>"
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
+
+    def over(line: Column, column: Column, piece: Column) -> tuple[Column, Column]:
+        breaks = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+        tail = F.length(F.substring_index(piece, "\n", -1))
+        return line + breaks, F.when(breaks > 0, tail).otherwise(column + tail)
+
+    def step(acc: Column, x: Column) -> Column:
+        line, column = over(acc["line"], acc["column"], x["gap"])
+        hit = F.struct(F.lit(name).alias("secret"), line.cast("long").alias("line"), (column + 1).cast("long").alias("column"), x["value"].alias("value"))
+        after, at = over(line, column, F.coalesce(x["value"], F.lit("")))
+        out = F.when(x["value"].isNotNull(), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
+        return F.struct(after.cast("int").alias("line"), at.cast("int").alias("column"), out.alias("out"))
+
+    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("column"), F.array().cast(kind).alias("out"))
+    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+
+
 def scan_secrets(docs: DataFrame, key: str, text: str, custom=()) -> DataFrame:
     """``key, secret, line, column, value``: a row a finding; patterns may overlap.
 
-    The place of a match follows from the pieces that a split leaves, so no
-    Python is needed.
+    One pass over the texts; the findings of a text are gathered in its row.
     """
-    out = None
-    for name, pattern, _ in [*SECRETS, *custom]:
-        found = docs.select(
-            key,
-            F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1)).alias("values"),
-            F.split(F.col(text), pattern, -1).alias("gaps"),
-        ).where(F.size("values") > 0)
-        place = found.select(key, "values", "gaps", F.posexplode("values").alias("k", "value"))
-        before = F.concat(
-            F.array_join(F.flatten(F.zip_with(F.slice("gaps", F.lit(1), F.col("k")), F.slice("values", F.lit(1), F.col("k")), lambda g, v: F.array(g, v))), ""),
-            F.get("gaps", F.col("k")),
-        )
-        rows = place.withColumn("before", before).select(
-            key,
-            F.lit(name).alias("secret"),
-            F.size(F.split("before", "\n")).cast("long").alias("line"),
-            (F.length(F.substring_index("before", "\n", -1)) + 1).cast("long").alias("column"),
-            "value",
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    found = F.concat(*[_places(F.col(text), name, pattern) for name, pattern, _ in [*SECRETS, *custom]])
+    return docs.select(key, F.explode(found).alias("f")).select(key, "f.*")
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:

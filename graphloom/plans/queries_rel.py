@@ -269,9 +269,9 @@ NORM = "lower(regexp_replace(regexp_replace(split_part(regexp_replace(path, '^ht
 
 
 @query(
-    f"""WITH o AS (SELECT DISTINCT service_id AS dst, {NORM} AS offer FROM v_exports), w AS (SELECT DISTINCT service_id AS src, {NORM} AS endpoint FROM v_consumes)
-    SELECT DISTINCT src, dst, endpoint FROM w JOIN o ON src <> dst AND (endpoint = offer OR (offer LIKE '%/:id' AND len(string_split(endpoint, '/')) = len(string_split(offer, '/'))
-      AND regexp_replace(endpoint, '/[^/]*$', '') = regexp_replace(offer, '/[^/]*$', '')))""",
+    f"""WITH o AS (SELECT DISTINCT service_id AS dst, {NORM} AS offer, string_split({NORM}, '/') AS a FROM v_exports), w AS (SELECT DISTINCT service_id AS src, {NORM} AS endpoint, string_split({NORM}, '/') AS b FROM v_consumes)
+    SELECT DISTINCT src, dst, endpoint FROM w JOIN o ON src <> dst AND offer <> '' AND endpoint <> '' AND len(a) = len(b)
+      AND len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i] AND NOT starts_with(a[i], ':') AND NOT starts_with(a[i], '{{') AND NOT starts_with(b[i], ':') AND NOT starts_with(b[i], '{{'))) = 0""",
     "v_exports", "v_consumes",
 )
 def n12_service_edges(spark, sf_dir):

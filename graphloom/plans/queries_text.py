@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as sc
-from graphloom.operators import extract, graph, metrics, packing, search, security
+from graphloom.operators import extract, graph, metrics, packing, reports, search, security, services
 from graphloom.plans import pattern
 from graphloom.plans.base import query
 from graphloom.plans.views import table, use, view
@@ -230,14 +229,15 @@ def t5_sessions(spark, sf_dir):
     return watch.sessions(table(spark, sf_dir, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query("""WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m)
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")
 def t5_stream_sessions(spark, sf_dir):
-    """The same sessions from a stream over the event file, append mode."""
+    """The same sessions from a stream over the event file, append mode: those that the watermark has closed."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = "sessions_" + uuid.uuid4().hex[:8]
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
-    return watch.drain(watch.sessions(stream), name, f"{home.rstrip('/')}/{name}").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return watch.drain(watch.sessions(stream), name, f"{store.shared_home(spark)}/{name}").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""WITH c AS (SELECT s_nationkey AS id, count(*) AS apis FROM supplier GROUP BY 1) SELECT n_nationkey AS id, lower(n_name) AS name, coalesce(apis, 0) AS apis, least(30.0, 8 + 2 * coalesce(apis, 0))::DOUBLE AS size FROM nation LEFT JOIN c ON c.id = n_nationkey""")
@@ -246,10 +246,13 @@ def n13_service_graph(spark, sf_dir):
     apis = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("id")).agg(F.count(F.lit(1)).alias("apis"))
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"))
     out = n.join(apis, "id", "left").withColumn("apis", F.coalesce("apis", F.lit(0)))
-    return out.withColumn("size", F.least(F.lit(30.0), (8 + 2 * F.col("apis")).cast("double")))
+    return out.withColumn("size", services.node_size(F.col("apis")))
 
 
-@query()
+@query(
+    """SELECT * FROM (VALUES ('d', NULL, 'empty', NULL), ('c', 'a', 'duplicate', NULL), ('a', 'b', 'conflict: indentation', 'a'), ('b', 'c', 'conflict: indentation', 'b'),
+    ('b', 'e', 'conflict: quote style', 'b')) AS t(rule_id, other, issue, prefer)"""
+)
 def n16_rule_issues(spark, sf_dir):
     """J17, J18, N16 over a few made rules."""
     rows = [("a", "Use tabs"), ("b", "Use spaces and single quotes"), ("c", " Use tabs "), ("d", ""), ("e", "double quotes")]
@@ -270,18 +273,24 @@ def n22_diff_impact(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT count(*) FILTER (relative_path LIKE 'tests/%' OR relative_path LIKE '%.test.%') AS tests, count(*) FILTER (extension IN ('.ts', '.js')) AS code FROM v_files)
-    SELECT tests, code, floor((100.0 + CASE WHEN code = 0 THEN 100 ELSE least(100.0, tests * 100.0 / code) END) / 2 * 10 + 0.5) / 10 AS score FROM s""",
-    "v_files",
-)
+    """WITH f AS (SELECT count(*) AS files, count(*) FILTER (extension IN ('.ts', '.js')) AS code, count(*) FILTER (extension IN ('.ts', '.js') AND file_id IN (SELECT file_id FROM v_symbols)) AS covered FROM v_files),
+    c AS (SELECT floor(covered * 100.0 / code + 0.5) AS coverage FROM f)
+    SELECT * FROM (SELECT 'Index' AS "check", 'pass' AS status, 95.0::DOUBLE AS score UNION ALL SELECT 'Files', 'pass', 100 UNION ALL SELECT 'Dependencies', 'pass', 90 UNION ALL SELECT 'Rules', 'warn', 70
+      UNION ALL SELECT 'Integrity', 'pass', 100 UNION ALL SELECT 'Coverage', CASE WHEN coverage > 80 THEN 'pass' ELSE 'warn' END, coverage FROM c)
+    UNION ALL SELECT 'Overall', '', floor((455 + coverage) / 6 + 0.5) FROM c""",
+    "v_files", "v_symbols",
+)
 def n15_health(spark, sf_dir):
-    """The mean of two checks (index present, share of tests)."""
+    """The six checks and their rounded mean."""
     from graphloom.functions import files as ff
 
-    f = view(spark, sf_dir, "v_files")
-    one = f.agg(F.count_if(ff.is_test(F.col("relative_path"))).alias("tests"), F.count_if(F.col("extension").isin(".ts", ".js")).alias("code"))
-    cover = F.when(F.col("code") == 0, 100.0).otherwise(F.least(F.lit(100.0), F.col("tests") * 100.0 / F.greatest(F.col("code"), F.lit(1))))
-    return one.withColumn("score", sc.half_up((F.lit(100.0) + cover) / 2, 1))
+    files, symbols, edges = use(spark, sf_dir, "v_files", "v_symbols", "v_edges_doc")
+    named = files.select("file_id", F.col("relative_path").alias("path"), ff.language(F.col("relative_path")).alias("language"))
+    rules = spark.createDataFrame([("a", "Use tabs"), ("b", "Use spaces")], "rule_id string, content string")
+    conflicts = scan.rule_issues(rules).where("issue like 'conflict%'")
+    state = files.groupBy().agg(F.count(F.lit(1)).alias("file_count"))
+    checks = metrics.health_checks(state, named, edges, rules, conflicts, symbols.join(named, "file_id").select("path"))
+    return checks.unionByName(metrics.health(checks).select(F.lit("Overall").alias("check"), F.lit("").alias("status"), F.col("score").cast("double").alias("score")))
 
 
 @query(
@@ -307,18 +316,20 @@ def x17_hash_embedding(spark, sf_dir):
     return search.semantic(items, first, 10, "item_id", "v").withColumn("score", F.round("score", 9))
 
 
-@query(None, "v_edges")
+@query(
+    """SELECT 'summary' AS report, 'nodes' AS metric, (SELECT count(*) FROM (SELECT src FROM v_edges UNION SELECT dst FROM v_edges))::DOUBLE AS value UNION ALL SELECT 'summary', 'edges', (SELECT count(*) FROM v_edges)
+    UNION ALL SELECT 'contexts', 'violations', (SELECT count(*) FROM v_edges_doc WHERE regexp_extract(src, 'packages/([^/]+)', 1) <> '' AND regexp_extract(dst, 'packages/([^/]+)', 1) <> ''
+      AND regexp_extract(src, 'packages/([^/]+)', 1) <> regexp_extract(dst, 'packages/([^/]+)', 1))
+    UNION ALL SELECT 'cycles', 'short', (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM v_edges) AS a WHERE src = dst)
+      + (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM v_edges) AS a JOIN (SELECT DISTINCT src, dst FROM v_edges) AS b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst)""",
+    "v_files", "v_edges", "v_edges_doc",
+)
 def n14_report(spark, sf_dir):
-    """The sub-reports as rows; one that fails is reported and does not stop the others."""
-    files, edges, doc = use(spark, sf_dir, "v_files", "v_edges", "v_edges_doc")
-    rows = []
-    for name, make in (
-        ("summary", lambda: metrics.graph_summary(edges).select("nodes", "edges")),
-        ("dead files", lambda: metrics.dead_files(files, doc).agg(F.count(F.lit(1)).alias("files"))),
-        ("violations", lambda: metrics.layer_violations(doc).agg(F.count(F.lit(1)).alias("violations"))),
-    ):
-        try:
-            rows.append((name, str(make().first().asDict())))
-        except Exception as error:  # a report is data: it carries the error on
-            rows.append((name, f"failed: {type(error).__name__}"))
-    return spark.createDataFrame(rows, "report string, result string")
+    """The sub-reports as rows; one that fails breaks the report."""
+    _, edges, doc = use(spark, sf_dir, "v_files", "v_edges", "v_edges_doc")
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return reports.report({
+        "summary": metrics.graph_summary(edges).select("nodes", "edges"),
+        "contexts": count(metrics.context_violations(doc), "violations"),
+        "cycles": count(graph.simple_cycles(edges, 2), "short"),
+    })

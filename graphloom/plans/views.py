@@ -64,10 +64,12 @@ VIEWS: dict[str, str] = {
     "v_services": "SELECT n_nationkey AS service_id, lower(n_name) AS name, n_regionkey AS region FROM nation",
     "v_exports": """
         SELECT s_nationkey AS service_id, concat('/api/', lower(n_name), '/', CASE s_suppkey % 3 WHEN 0 THEN ':id' WHEN 1 THEN 'list' ELSE concat('item', s_suppkey % 5) END) AS path
-        FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+        FROM supplier JOIN nation ON n_nationkey = s_nationkey
+        UNION ALL SELECT s_nationkey, CASE s_suppkey % 4 WHEN 0 THEN '/users/:id' WHEN 1 THEN '/{tenant}/orders/open' WHEN 2 THEN '/' ELSE concat('/users/', s_suppkey) END FROM supplier""",
     "v_consumes": """
         SELECT c_nationkey AS service_id, concat('https://Gateway.example.com/api/', n_name, '/', CASE c_custkey % 4 WHEN 0 THEN 'LIST' WHEN 1 THEN concat('item', c_custkey % 5) ELSE concat('', c_custkey) END, '/?v=1') AS path
-        FROM customer JOIN nation ON n_nationkey = (c_nationkey + c_custkey) % 25""",
+        FROM customer JOIN nation ON n_nationkey = (c_nationkey + c_custkey) % 25
+        UNION ALL SELECT c_nationkey, CASE c_custkey % 5 WHEN 0 THEN concat('/users/', c_custkey % 40) WHEN 1 THEN '/users/{name}' WHEN 2 THEN concat('/t', c_custkey % 3, '/orders/:state') WHEN 3 THEN '/api/{x}/list' ELSE 'http://h/' END FROM customer""",
 }
 #: Views that a view reads.
 NEEDS = {"v_edges_doc": ["v_files"]}

@@ -146,13 +146,62 @@ def parse_log(logs: DataFrame) -> DataFrame:
     return rows.select("commit", "author", "committed", F.explode("files").alias("file"))
 
 
+def _git(spark: SparkSession, repository: str, *words: str) -> DataFrame:
+    """One row ``text``: what git prints (of one repository, so it fits the driver)."""
+    done = subprocess.run(["git", "-C", repository, *words], capture_output=True, text=True, check=True)
+    return spark.createDataFrame([(done.stdout,)], "text string")
+
+
+def _revisions(*names: str) -> list[str]:
+    if any(x.startswith("-") for x in names):
+        raise ValueError("a revision must not start with '-'")
+    return list(names)
+
+
 def changed_files(spark: SparkSession, repository: str, base: str, head: str = "HEAD") -> DataFrame:
     """``status, path`` between two revisions."""
-    if base.startswith("-") or head.startswith("-"):
-        raise ValueError("a revision must not start with '-'")
-    done = subprocess.run(["git", "-C", repository, "diff", "--name-status", base, head, "--"], capture_output=True, text=True, check=True)
-    rows = [(x.split("\t")[0][:1], x.split("\t")[-1]) for x in done.stdout.splitlines() if x]
-    return spark.createDataFrame(rows, "status string, path string")
+    return parse_name_status(_git(spark, repository, "diff", "--name-status", *_revisions(base, head), "--"))
+
+
+def staged_files(spark: SparkSession, repository: str) -> DataFrame:
+    """``status, path`` of what is staged."""
+    return parse_name_status(_git(spark, repository, "diff", "--name-status", "--cached", "--"))
+
+
+def work_status(spark: SparkSession, repository: str) -> DataFrame:
+    """``staged, unstaged, path``: the two state letters of each changed file."""
+    return parse_status(_git(spark, repository, "status", "--porcelain"))
+
+
+def line_changes(spark: SparkSession, repository: str, base: str, head: str = "HEAD") -> DataFrame:
+    """``path, first, added, removed``: the hunks between two revisions."""
+    return parse_diff(_git(spark, repository, "diff", "--unified=0", *_revisions(base, head), "--"))
+
+
+def _printed(texts: DataFrame) -> DataFrame:
+    return texts.select(F.posexplode(F.split("text", "\n")).alias("no", "line"))
+
+
+def parse_name_status(texts: DataFrame) -> DataFrame:
+    """Rows of ``git diff --name-status``; a renamed file has its new name."""
+    cells = F.split("line", "\t")
+    return _printed(texts).where("line <> ''").select(F.substring(F.get(cells, F.lit(0)), 1, 1).alias("status"), F.element_at(cells, -1).alias("path"))
+
+
+def parse_status(texts: DataFrame) -> DataFrame:
+    """Rows of ``git status --porcelain``."""
+    path = F.regexp_replace(F.substring("line", 4, 2**30), r"^.* -> ", "")
+    return _printed(texts).where("line <> ''").select(F.substring("line", 1, 1).alias("staged"), F.substring("line", 2, 1).alias("unstaged"), path.alias("path"))
+
+
+def parse_diff(texts: DataFrame) -> DataFrame:
+    """Hunks of a unified diff, each ``text`` one diff: the file they are in, first new line, lines added and removed."""
+    head = r"^@@ -[0-9]+(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
+    part = F.explode(F.split("text", r"(?m)^diff --git ")).alias("part")
+    file = texts.select(part).where("part <> ''").select(F.regexp_extract("part", r"(?m)^\+\+\+ (?:b/)?([^\t\n]*)", 1).alias("path"), F.explode(F.split("part", "\n")).alias("line"))
+    number = lambda k: F.regexp_extract("line", head, k)
+    count = lambda k: F.when(number(k) == "", 1).otherwise(number(k).try_cast("long")).cast("long")
+    return file.where(F.col("line").rlike(head)).select("path", number(2).cast("long").alias("first"), count(3).alias("added"), count(1).alias("removed"))
 
 
 def rule_files(files: DataFrame) -> DataFrame:

@@ -7,12 +7,26 @@ in place, and a reader never sees half of a new one.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_home(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` where it is set.
+
+    Without it a temporary folder, for a local master alone; on a cluster a
+    folder beside the warehouse.
+    """
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and master.startswith("local") and not master.startswith("local-cluster"):
+        found = tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_graphloom").rstrip("/")
+
+
 class Table:
     """A versioned Parquet table with keys."""
 
@@ -65,12 +79,60 @@ class Table:
         """Rows whose key is among ``keys`` go (a cascade passes the key of the parent)."""
         self.write(self.read().join(keys, on or self.keys, "left_anti"))
 
+    def rollback(self, version: str) -> None:
+        """Versions after ``version`` go, as if they had not been written."""
+        fs, path = self._fs()
+        for name in self.versions():
+            if name > version:
+                fs.delete(path(f"{self.path}/{name}"), True)
+
     def vacuum(self, keep: int = 2) -> None:
         fs, path = self._fs()
         for name in self.versions()[:-keep]:
             fs.delete(path(f"{self.path}/{name}"), True)
 
 
+def patch(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Rows with the fields that an update of the same key carries; null fields and unknown keys change nothing."""
+    new = updates.select(F.col(key), *[F.col(c).alias(f"new_{c}") for c in updates.columns if c != key])
+    return rows.join(new, key, "left").select(key, *[F.coalesce(f"new_{c}", c).alias(c) if c in updates.columns else F.col(c) for c in rows.columns if c != key])
+
+
+def delete_cascade(parent: Table, keys: DataFrame, children: list[tuple[Table, str]]) -> None:
+    """Deletes from a table and from those that name its key; children first, so no row is left without its parent."""
+    gone = keys.select(parent.keys[0])
+    for child, column in children:
+        if child.exists():
+            child.delete(gone.withColumnRenamed(parent.keys[0], column), [column])
+    parent.delete(gone, [parent.keys[0]])
+
+
+class Savepoint:
+    """Tables that go back to where they were if the block raises; savepoints nest."""
+
+    def __init__(self, *tables: Table):
+        self.tables = tables
+
+    def __enter__(self) -> Savepoint:
+        self.at = [(t, (t.versions() or [""])[-1]) for t in self.tables]
+        return self
+
+    def __exit__(self, kind, error, trace) -> bool:
+        if kind is not None:
+            for table, version in self.at:
+                table.rollback(version)
+        return False
+
+
+def index_files(files: DataFrame, paths: list[str], table: Table, dependents: list[Table] = (), derive=None) -> DataFrame:
+    """Brings only the named files up to date; all others stay, and none is taken for deleted."""
+    named = files.sparkSession.createDataFrame([(p,) for p in paths], "path string")
+    known = table.read() if table.exists() else None
+    todo = files.join(F.broadcast(named), "path", "left_semi")  # paths that a caller lists
+    rest = todo if known is None else known.join(F.broadcast(named), "path", "left_anti").select(*files.columns).unionByName(todo)
+    return index(rest, table, dependents, derive).join(F.broadcast(named), "path", "left_semi")
+
+
 def changes(old: DataFrame, new: DataFrame, key: str = "path", mark: str = "hash") -> DataFrame:
     """``key, change``: added, changed, same or deleted, by key and content hash."""
     both = old.select(key, F.col(mark).alias("before")).join(new.select(key, F.col(mark).alias("after")), key, "full_outer")

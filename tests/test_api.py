@@ -1,5 +1,6 @@
 from graphloom.api import Project
 from graphloom.operators import reports, services
+from pyspark.sql import functions as F
 
 
 def project(spark):
@@ -33,9 +34,11 @@ def test_tools(spark):
 def test_reports(spark):
     ev = spark.createDataFrame([("typescript",), ("vitest",), ("jest",)], "name string")
     assert {r.rule_id for r in reports.propose_rules(ev).collect()} == {"ts_strict_types", "vitest_tests"}
-    once = reports.sync_block("# Title\n", "one")
-    assert reports.sync_block(once, "two").count(reports.START) == 1 and "two" in reports.sync_block(once, "two") and "one" not in reports.sync_block(once, "two")
-    assert reports.file_tree(["a/b", "a/c", "d"]) == "a/\n  b\n  c\nd"
+    once = reports.sync_block(F.lit("# Title\n"), F.lit("one"))
+    first, second = spark.range(1).select(once, reports.sync_block(once, F.lit("two"))).first()
+    assert first == f"# Title\n\n{reports.START}\none\n{reports.END}\n" and second == first.replace("one", "two")
+    tree = reports.file_tree(spark.createDataFrame([("a/c",), ("d",), ("a/b",)], "path string")).orderBy("position").collect()
+    assert [r.line for r in tree] == ["a/", "  b", "  c", "d"]
     cyc = spark.createDataFrame([(["x.ts", "y.ts", "x.ts"],)], "cycle array<string>")
     vio = spark.createDataFrame([("x.ts", "z.ts", "HIGH")], "src string, dst string, severity string")
     lines = spark.createDataFrame([("x.ts", 1, "a"), ("x.ts", 2, "import y from './y'")], "path string, line_no long, line string")
