@@ -42,6 +42,36 @@ def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.size(tokenize(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("len"))
 
 
+def _bm25_score(hits: DataFrame, total: DataFrame, key: str, limit: int) -> DataFrame:
+    """``hits``: key, len, term, tf; ``total``: one row n, avg_len."""
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(total))  # a row a term; one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return scored.groupBy(key).agg(F.round(F.sum(part), 9).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+
+
+def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """The inverted index as files: postings by the first two letters of their term, with the lengths
+    of their documents, and the totals of the corpus."""
+    sizes = lengths(docs, key, text)
+    rows = postings(docs, key, text).join(sizes, key).withColumn("head", F.substring("term", 1, 2))
+    # Ranges of the order, so that a term of a third of all documents is spread over tasks too.
+    rows.repartitionByRange("head", "term", key).sortWithinPartitions("head", "term").write.partitionBy("head").parquet(f"{path}/postings")
+    sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")).write.parquet(f"{path}/totals")
+
+
+def bm25_of_index(spark, path: str, key: str, terms: list[str], limit: int, prefix: bool = True) -> DataFrame:
+    """``bm25`` over a written index: reads the postings of the terms alone, no text."""
+    rows, found = spark.read.option("basePath", f"{path}/postings").schema(f"{key} long, term string, tf long, len long, head string").parquet(f"{path}/postings"), None
+    for t in terms:
+        fits = F.col("term").startswith(t) if prefix else F.col("term") == t
+        head = F.col("head") == t[:2] if len(t) > 1 or not prefix else F.col("head").startswith(t)
+        own = rows.where(head & fits).groupBy(key, "len").agg(F.sum("tf").alias("tf")).select(key, "len", F.lit(t).alias("term"), "tf")
+        found = own if found is None else found.unionByName(own)
+    return _bm25_score(found, spark.read.parquet(f"{path}/totals"), key, limit)
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], limit: int, prefix: bool = True) -> DataFrame:
     """``key, score``: top documents for the terms, each a prefix phrase unless told otherwise.
 
@@ -58,11 +88,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], limit: int, pre
 
     hits = base.select(key, "len", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), count_of(t).alias("tf")) for t in terms])).alias("h"))
     hits = hits.select(key, "len", "h.term", "h.tf").where("tf > 0")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(total))  # a row a term; one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return scored.groupBy(key).agg(F.round(F.sum(part), 9).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return _bm25_score(hits, total, key, limit)
 
 
 def semantic(table: DataFrame, vector: list[float], limit: int, key: str, column: str, least: float = 0.1) -> DataFrame:

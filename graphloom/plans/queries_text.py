@@ -49,6 +49,14 @@ def r4_postings(spark, sf_dir):
     return search.postings(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol_id"), "p_name"), "symbol_id", "p_name")
 
 
+@query(_bm25(["license", "hand", "the", "q"], True, 25))
+def r4_stored_search(spark, sf_dir):
+    """The index written once, then read by the terms of a search."""
+    path = f"{store.shared_home(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return search.bm25_of_index(spark, path, "doc_id", ["license", "hand", "the", "q"], 25)
+
+
 @query()
 def r1_retrieve(spark, sf_dir):
     """Sources of candidates for a task with the intent to fix a bug."""
