@@ -23,38 +23,38 @@ LANGUAGES = {
 #: File name -> language.
 FILE_NAMES = {"Dockerfile": "dockerfile", "Makefile": "shell"}
 #: Languages that an extractor exists for.
-PARSEABLE = (
-    "typescript javascript python go rust java csharp cpp c ruby kotlin swift php prisma dart scala lua elixir "
-    "erlang zig graphql vue svelte astro sql shell"
-).split()
+PARSEABLE = [
+    "typescript", "javascript", "python", "go", "rust", "java", "csharp", "cpp", "c", "ruby", "kotlin", "swift", "php", "prisma", "dart", "scala",
+    "lua", "elixir", "erlang", "zig", "graphql", "vue", "svelte", "astro", "sql", "shell",
+]
 #: Parts of the paths of tests, and of generated files.
 TEST_STARTS = ("test/", "tests/", "__tests__/")
 TEST_PARTS = ("__tests__/", "__test__/", "/test/", "/tests/", ".test.", ".spec.", "_test.", "_spec.")
 GENERATED_STARTS = ("dist/", "build/", "out/", "coverage/")
 GENERATED_PARTS = ("/dist/", "/build/", "/out/", ".min.", ".generated.", ".d.ts", "/coverage/", "/__generated__/")
 #: Extensions of binary files.
-BINARY = (
-    ".png .jpg .jpeg .gif .bmp .ico .svg .woff .woff2 .ttf .eot .otf .mp3 .mp4 .avi .mov .webm .zip .tar .gz .rar .7z "
-    ".exe .dll .so .dylib .pdf .doc .docx .xls .xlsx .sqlite .db"
-).split()
+BINARY = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".mp3", ".mp4", ".avi", ".mov", ".webm",
+    ".zip", ".tar", ".gz", ".rar", ".7z", ".exe", ".dll", ".so", ".dylib", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".sqlite", ".db",
+]
 #: Names of files that are a module's public face.
 PUBLIC_FILES = ["index.ts", "index.js", "public-api.ts", "public-api.js", "api.ts", "api.js", "main.ts", "main.js"]
 #: Fixed values: (layer, directories, middles of file names) in order; the first that fits wins.
 LAYERS = [
-    ("presentation", "controllers controller routes route views pages components handlers api web", "controller route handler"),
-    ("application", "services service usecases use-cases commands queries workflows", "service usecase"),
-    ("domain", "domain models model entities entity aggregates value-objects", "model entity"),
-    ("infrastructure", "infra infrastructure repositories repository repos database db storage adapters", "repository repo adapter"),
-    ("shared", "shared common utils util helpers core types", ""),
-]
+    ("presentation", ["controllers", "controller", "routes", "route", "views", "pages", "components", "handlers", "api", "web"], ["controller", "route", "handler"]),
+    ("application", ["services", "service", "usecases", "use-cases", "commands", "queries", "workflows"], ["service", "usecase"]),
+    ("domain", ["domain", "models", "model", "entities", "entity", "aggregates", "value-objects"], ["model", "entity"]),
+    ("infrastructure", ["infra", "infrastructure", "repositories", "repository", "repos", "database", "db", "storage", "adapters"], ["repository", "repo", "adapter"]),
+    ("shared", ["shared", "common", "utils", "util", "helpers", "core", "types"], []),
+]
 #: Words in a layer's name -> its type, in order.
 LAYER_WORDS = [
-    ("presentation", "controller route view page presentation api web"),
-    ("application", "service usecase application handler workflow"),
-    ("domain", "domain model entity aggregate"),
-    ("infrastructure", "infra repo database storage adapter"),
-    ("shared", "shared common util core"),
-]
+    ("presentation", ["controller", "route", "view", "page", "presentation", "api", "web"]),
+    ("application", ["service", "usecase", "application", "handler", "workflow"]),
+    ("domain", ["domain", "model", "entity", "aggregate"]),
+    ("infrastructure", ["infra", "repo", "database", "storage", "adapter"]),
+    ("shared", ["shared", "common", "util", "core"]),
+]
 #: Ends of the paths of entry files (any case, unanchored on the left).
 ENTRY = (
     r"(?i)((index|main|app|server|cli|bin|extension|rc)\.[a-z0-9]+|\.config\.[a-z0-9]+|\.d\.ts|/commands/[a-z0-9_-]+\.[a-z0-9]+)$"
@@ -143,7 +143,7 @@ def glob_match(path: Column, pattern: str) -> Column:
 
 
 def default_patterns() -> list[tuple[str, list[str]]]:
-    return [(name, [f"**/{d}/**" for d in dirs.split()] + [f"**/*.{m}.*" for m in mids.split()]) for name, dirs, mids in LAYERS]
+    return [(name, [f"**/{d}/**" for d in dirs] + [f"**/*.{m}.*" for m in mids]) for name, dirs, mids in LAYERS]
 
 
 def layer(path: Column, layers: list[tuple[str, list[str]]] | None = None) -> Column:
@@ -159,7 +159,7 @@ def layer_type(name: Column) -> Column:
     """Layer type by words in the layer's name."""
     low, out = F.lower(name), F.lit("custom")
     for kind, words in reversed(LAYER_WORDS):
-        out = F.when(_any([low.contains(w) for w in words.split()]), kind).otherwise(out)
+        out = F.when(_any([low.contains(w) for w in words]), kind).otherwise(out)
     return out
 
 

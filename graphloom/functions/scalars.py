@@ -6,26 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that retrieval leaves out of a query.
-STOP_TERMS = (
-    "the a an is it to in on of for and or but not with this that from add fix make implement create update change new "
-    "get set use do be find how where what locate which who when why"
-).split()
+STOP_TERMS = [
+    "the", "a", "an", "is", "it", "to", "in", "on", "of", "for", "and", "or", "but", "not", "with", "this", "that", "from", "add", "fix", "make",
+    "implement", "create", "update", "change", "new", "get", "set", "use", "do", "be", "find", "how", "where", "what", "locate", "which", "who",
+    "when", "why",
+]
 #: Words that full-text search leaves out of a query.
-STOP_SEARCH = (
-    "a an and are as at be by for from has he in is it its of on that the to was were will with how where what find "
-    "which who when why can does do locate"
-).split()
+STOP_SEARCH = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was",
+    "were", "will", "with", "how", "where", "what", "find", "which", "who", "when", "why", "can", "does", "do", "locate",
+]
 #: Search term -> terms added to the query.
 SYNONYMS = {
-    "network": "api http fetch request axios",
-    "db": "database sqlite sql query storage",
-    "ui": "view component render react dom",
-    "error": "exception catch fail crash bug",
-    "test": "spec mock assert jest",
-    "config": "settings env options setup toml json",
-    "auth": "login token jwt session security",
-    "graph": "node edge dependency tree ast",
-}
+    "network": ["api", "http", "fetch", "request", "axios"],
+    "db": ["database", "sqlite", "sql", "query", "storage"],
+    "ui": ["view", "component", "render", "react", "dom"],
+    "error": ["exception", "catch", "fail", "crash", "bug"],
+    "test": ["spec", "mock", "assert", "jest"],
+    "config": ["settings", "env", "options", "setup", "toml", "json"],
+    "auth": ["login", "token", "jwt", "session", "security"],
+    "graph": ["node", "edge", "dependency", "tree", "ast"],
+}
 
 
 def half_up(x: Column, digits: int) -> Column:
@@ -92,7 +93,7 @@ def search_terms(query: Column) -> Column:
     """Terms of a full-text query with their synonyms, each once, in order."""
     parts = F.split(F.trim(F.regexp_replace(query, r"[^A-Za-z0-9_\s]", " ")), r"\s+")
     kept = F.filter(F.transform(parts, F.lower), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_SEARCH))
-    more = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v.split()]))])
+    more = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
     return F.array_distinct(F.flatten(F.transform(kept, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(more, t), F.array().cast("array<string>"))))))
 
 

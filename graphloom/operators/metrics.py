@@ -78,7 +78,7 @@ def git_metrics(commits: DataFrame) -> DataFrame:
 
 
 #: Languages that are not code, for the search for dead files.
-NOT_CODE = "markdown json yaml toml html css scss dockerfile unknown shell".split()
+NOT_CODE = ["markdown", "json", "yaml", "toml", "html", "css", "scss", "dockerfile", "unknown", "shell"]
 
 
 def dead_files(table: DataFrame, edges: DataFrame, path: str = "relative_path") -> DataFrame:

@@ -144,10 +144,11 @@ def order_rules(rules: DataFrame, task: str) -> DataFrame:
 
 #: Export target -> layout (rich markdown, comments, or rules and fenced files for all others).
 LAYOUTS = {"markdown": "rich", "json": "json", "codex": "comment"}
-TARGETS = (
-    "markdown claude cursor copilot gemini agents antigravity codex aider windsurf cline trae deepseek qwen lingma comate codegeex kimi grok replit devin "
-    "opencode vellum openhands continue roo augment amazonq json"
-).split()
+TARGETS = [
+    "markdown", "claude", "cursor", "copilot", "gemini", "agents", "antigravity", "codex", "aider", "windsurf", "cline", "trae", "deepseek", "qwen",
+    "lingma", "comate", "codegeex", "kimi", "grok", "replit", "devin", "opencode", "vellum", "openhands", "continue", "roo", "augment", "amazonq",
+    "json",
+]
 
 
 def layout_of(target: str) -> str:

@@ -14,7 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEYWORDS = "MATCH WHERE RETURN AND OR NOT CONTAINS STARTS_WITH ENDS_WITH STARTS ENDS WITH AS".split()
+KEYWORDS = [
+    "MATCH", "WHERE", "RETURN", "AND", "OR", "NOT", "CONTAINS", "STARTS_WITH", "ENDS_WITH", "STARTS", "ENDS", "WITH", "AS",
+]
 TOKEN = re.compile(
     r"""\s*(?:(?P<string>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<number>-?\d+(?:\.\d+)?)|(?P<word>[A-Za-z_$][A-Za-z0-9_$.]*)
     |(?P<op><-|->|<=|>=|<>|!=|==|--|[()\[\]{}:,=<>\-*.]))""",
@@ -250,7 +252,9 @@ def run(text: str, edges: DataFrame, nodes: DataFrame | None = None, parity: boo
 
 
 #: Languages that a question may name.
-NAMED_LANGUAGES = "typescript javascript python php go rust java html css scss sql c cpp ruby csharp swift kotlin".split()
+NAMED_LANGUAGES = [
+    "typescript", "javascript", "python", "php", "go", "rust", "java", "html", "css", "scss", "sql", "c", "cpp", "ruby", "csharp", "swift", "kotlin",
+]
 WORD, PATH = r"['\"]?([a-zA-Z0-9_$]+)['\"]?", r"['\"]?([a-zA-Z0-9._\-/]+)['\"]?"
 #: Question -> query, in order; English and Indonesian.
 QUESTIONS = [

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words that make a statement writing.
-WRITING = "insert update delete drop alter create replace truncate attach detach pragma vacuum reindex merge".split()
+WRITING = [
+    "insert", "update", "delete", "drop", "alter", "create", "replace", "truncate", "attach", "detach", "pragma", "vacuum", "reindex", "merge",
+]
 MOST, DEFAULT = 500, 100
 
 

@@ -13,10 +13,11 @@ from graphloom.functions import files as ff
 
 MOST_BYTES = 1_048_576
 #: Names and patterns that a scan leaves out.
-IGNORE = (
-    "node_modules .git dist build out .next .nuxt .svelte-kit coverage .cache .tmp __pycache__ .venv venv target vendor "
-    ".idea .vscode .DS_Store Thumbs.db *.min.js *.min.css *.map *.lock package-lock.json pnpm-lock.yaml yarn.lock"
-).split()
+IGNORE = [
+    "node_modules", ".git", "dist", "build", "out", ".next", ".nuxt", ".svelte-kit", "coverage", ".cache", ".tmp", "__pycache__", ".venv", "venv",
+    "target", "vendor", ".idea", ".vscode", ".DS_Store", "Thumbs.db", "*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json",
+    "pnpm-lock.yaml", "yarn.lock",
+]
 #: Package -> framework, in order.
 FRAMEWORKS = {
     "next": "next", "react": "react", "vue": "vue", "svelte": "svelte", "@sveltejs/kit": "svelte", "@angular/core": "angular",
