@@ -201,7 +201,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: counts, the digest of base spans, and all spans."""
+    """One row a document: counts, the digest of base spans, all spans and their number."""
     base = ("email", "ip", "card", "phone")
     found = find_pii(docs.select(id_col, text_col), text_col)
 
@@ -226,4 +226,5 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in base],
         F.sha2(F.concat_ws(",", base_list), 256).alias("base_sha256"),
         F.concat_ws(",", *every).alias("spans"),
+        sum((F.size(x) for x in every[1:]), F.size(every[0])).cast("long").alias("n_spans"),
     )
