@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, metrics, packing, reports, search, security
+from graphloom.operators import describe, graph, metrics, packing, reports, search, security, semantic
 from graphloom.plans import pattern, sqlguard
 from graphloom.sources import scan, store
 
@@ -36,17 +37,45 @@ class Project:
         empty = self.spark.createDataFrame([], "path string, score double")
         return search.bm25(self.files, "path", "content", terms, limit) if terms else empty
 
-    def get_context(self, task: str, budget: int = 8000, limit: int = 15, intent: str = "") -> DataFrame:
+    def get_context(self, task: str, budget: int = 8000, limit: int = 15, intent: str = "", weights: dict[str, float] | None = None) -> DataFrame:
         from graphloom.functions import scalars as sc
 
         terms = self.spark.range(1).select(sc.retrieval_terms(F.lit(task))).first()[0]
         sources = search.retrieve(self.files, self.symbols, self.edges, self.search(task, limit), terms, intent, limit)
-        ranked = search.rank(sources, terms)
+        ranked = search.rank(sources, terms, weights)
         forms = packing.add_forms(self.files.join(F.broadcast(ranked), "path"))  # at most ``limit`` rows
         count = lambda c: sc.tokens(F.col(c))
         sized = forms.select(F.lit(task).alias("task"), "path", "relevance", count("content").alias("full"), count("signature").alias("signature"), count("digest").alias("digest"))
         return packing.pack(sized, budget)
 
+    def benchmark(self, tasks: list[tuple[str, str, list[str]]], dataset: str = "own", budget: int = 8000, limit: int = 15) -> DataFrame:
+        """``dataset, task, recall, precision, tokens, savings, ms`` of each task (name, query, expected files).
+
+        Tasks run one after the other, since each is timed; a task has at most ``limit`` rows.
+        Savings are of the tokens of all files, in whole percent.
+        """
+        from graphloom.functions import scalars as sc
+
+        whole = self.files.agg(F.sum(sc.tokens(F.col("content")))).first()[0] or 0
+        found, sums = [], []
+        for name, text, _ in tasks:
+            start = time.perf_counter()
+            rows = self.get_context(text, budget, limit, weights=search.BENCHMARK_WEIGHTS).collect()
+            used = sum(r.tokens for r in rows)
+            found += [(name, r.path) for r in rows]
+            sums.append((name, used, float(max(0, int((whole - used) / whole * 100 + 0.5))) if whole else 0.0, (time.perf_counter() - start) * 1000))
+        expected = self.spark.createDataFrame([(name, x) for name, _, files in tasks for x in files], "task string, expected string")
+        scores = search.recall(self.spark.createDataFrame(found, "task string, path string"), expected)
+        costs = self.spark.createDataFrame(sums, "task string, tokens long, savings double, ms double")
+        zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("recall", "precision")]
+        return costs.join(F.broadcast(scores), "task", "left").select(F.lit(dataset).alias("dataset"), "task", *zero, "tokens", "savings", "ms")  # one row a task
+
+    def signatures(self) -> DataFrame:
+        return describe.described(self.files)
+
+    def semantic_edges(self) -> DataFrame:
+        return semantic.semantic_edges(self.files, semantic.path_map(self.files))
+
     def graph_query(self, text: str, nodes: DataFrame | None = None) -> DataFrame:
         links = self.edges.select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), F.upper("kind").alias("type"))
         return pattern.run(pattern.to_query(text), links, nodes)

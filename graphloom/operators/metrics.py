@@ -207,3 +207,46 @@ def top_complexity(symbols: DataFrame, k: int) -> DataFrame:
 
 def with_row_number(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+#: Languages that the language mode tells apart, by name or by extension.
+COLORED = {
+    "typescript": ("ts", "tsx"), "javascript": ("js", "jsx"), "csharp": ("cs",), "cpp": ("cpp", "c", "h"), "java": ("java",), "ruby": ("rb",), "kotlin": ("kt",),
+    "swift": ("swift",), "php": ("php",), "python": ("py",), "css": ("css", "scss", "less"), "html": ("html", "htm"),
+}
+#: Inclusive upper ends of the bins of a mode.
+BIN_ENDS = {"churn": (0, 3, 8, 15), "instability": (0.25, 0.5, 0.75), "impact": (0, 2, 5, 10)}
+CLUSTERS = 8
+
+
+def _bin(value: Column, ends: tuple) -> Column:
+    out = F.lit(len(ends))
+    for k, end in reversed(list(enumerate(ends))):
+        out = F.when(value <= end, k).otherwise(out)
+    return out
+
+
+def color_bins(nodes: DataFrame) -> DataFrame:
+    """Adds ``bins``: the bin of each of the seven colour modes of a node.
+
+    ``nodes``: name, language, community, churn, instability, is_god, in_degree,
+    risk, size; nulls count as 0.  ``-1`` in instability is a god object.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ending, lang = F.lower(F.substring_index("name", ".", -1)), F.lower("language")
+    language = F.lit("other")
+    for name, endings in reversed(COLORED.items()):
+        language = F.when((lang == name) | ending.isin(*endings) | ((lang == "c") if name == "cpp" else F.lit(False)), name).otherwise(language)
+    size = zero("size")
+    return nodes.withColumn(
+        "bins",
+        F.struct(
+            language.alias("language"),
+            (zero("community") % CLUSTERS).cast("int").alias("cluster"),
+            _bin(zero("churn"), BIN_ENDS["churn"]).alias("churn"),
+            F.when(F.col("is_god"), -1).otherwise(_bin(zero("instability"), BIN_ENDS["instability"])).alias("instability"),
+            _bin(zero("in_degree"), BIN_ENDS["impact"]).alias("impact"),
+            F.when(F.col("risk") == "critical", 3).when(F.col("risk") == "high", 2).when(F.col("risk") == "medium", 1).otherwise(0).alias("hotspot"),
+            F.when(size < 1000, 0).when(size < 4000, 1).when(size < 12000, 2).otherwise(3).alias("size"),
+        ),
+    )

@@ -108,6 +108,8 @@ def snippet(text: Column, term: str, width: int = 32) -> Column:
 
 #: Weights of the ranking signals; the last two only widen the denominator.
 WEIGHTS = {"lexical": 0.25, "symbol": 0.2, "path": 0.15, "dependency": 0.15, "module": 0.1, "rule": 0.1, "recency": 0.05}
+#: The weights of benchmark runs.
+BENCHMARK_WEIGHTS = {"lexical": 0.35, "symbol": 0.2, "path": 0.15, "dependency": 0.1, "module": 0.1, "rule": 0.05, "recency": 0.05}
 
 
 def retrieve(files: DataFrame, symbols: DataFrame, edges: DataFrame, hits: DataFrame, terms: list[str], intent: str = "", limit: int = 50) -> DataFrame:
@@ -163,14 +165,18 @@ def rank(sources: DataFrame, terms: list[str], weights: dict[str, float] | None
 
 
 def recall(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row a task: recall and precision, two digits; a suffix match is a hit."""
+    """One row a task: recall and precision, two digits.
+
+    An expected file is a hit if a found path ends with it; hits over expected
+    files, and hits over found paths (a hit counts once, by however many paths).
+    """
     hit = expected.join(found, "task").where(F.col("path").endswith(F.col("expected")))
     a = expected.groupBy("task").agg(F.countDistinct("expected").alias("want"))
     b = found.groupBy("task").agg(F.countDistinct("path").alias("got"))
-    c = hit.groupBy("task").agg(F.countDistinct("expected").alias("e"), F.countDistinct("path").alias("p"))
+    c = hit.groupBy("task").agg(F.countDistinct("expected").alias("e"))
     out = a.join(b, "task", "left").join(c, "task", "left")
     two = lambda x, y: sc.half_up(F.coalesce(x / y, F.lit(0.0)), 2)
-    return out.select("task", two(F.col("e"), F.col("want")).alias("recall"), two(F.col("p"), F.col("got")).alias("precision"))
+    return out.select("task", two(F.col("e"), F.col("want")).alias("recall"), two(F.col("e"), F.col("got")).alias("precision"))
 
 
 def hash_vector(text: str) -> list[float]:

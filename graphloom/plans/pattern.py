@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYWORDS = [
-    "MATCH", "WHERE", "RETURN", "AND", "OR", "NOT", "CONTAINS", "STARTS_WITH", "ENDS_WITH", "STARTS", "ENDS", "WITH", "AS",
+    "MATCH", "WHERE", "RETURN", "AND", "OR", "NOT", "CONTAINS", "STARTS_WITH", "ENDS_WITH", "TRUE", "FALSE", "STARTS", "ENDS", "WITH", "AS",
 ]
 TOKEN = re.compile(
     r"""\s*(?:(?P<string>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<number>-?\d+(?:\.\d+)?)|(?P<word>[A-Za-z_$][A-Za-z0-9_$.]*)
@@ -91,9 +91,11 @@ class Parser:
 
     def literal(self):
         kind, value = self.peek()
-        if kind not in ("string", "number", "word"):
+        if kind not in ("string", "number", "word") and value not in ("TRUE", "FALSE"):
             raise PatternError(f"expected a literal, got {value!r}")
         self.at += 1
+        if kind == "keyword":
+            return value.lower()  # properties are texts
         return (float(value) if "." in value else int(value)) if kind == "number" else value
 
     def node(self) -> Node:

@@ -15,6 +15,9 @@ STATEMENTS = {
     "sql_join_right": "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey",
     "sql_join_full": "SELECT a.n_nationkey AS a, b.s_suppkey AS b FROM nation AS a FULL OUTER JOIN supplier AS b ON a.n_nationkey = b.s_nationkey AND b.s_acctbal > 0",
     "sql_join_cross": "SELECT r.r_name, n.n_name FROM region AS r CROSS JOIN nation AS n",
+    "sql_join_range": "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_acctbal >= n_nationkey * 400 AND s_acctbal < n_nationkey * 400 + 500",
+    "sql_join_interval": "SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND b.l_shipdate >= a.l_shipdate - INTERVAL 20 DAY AND b.l_shipdate <= a.l_shipdate + INTERVAL 20 DAY",
+    "sql_join_asof": "SELECT e.event_id, max_by(p.event_id, p.event_id) AS last_purchase FROM events AS e LEFT JOIN events AS p ON p.user_id = e.user_id AND p.event_id < e.event_id AND p.event_type = 'purchase' GROUP BY e.event_id",
     "sql_semi_exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "sql_anti_not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "sql_scalar_subquery": "SELECT p_partkey, (SELECT max(l_quantity) FROM lineitem WHERE l_partkey = p_partkey) AS most FROM part",

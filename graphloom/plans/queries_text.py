@@ -74,18 +74,19 @@ def r7_rank(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT item_id AS task, concat('f', item_id, '.ts') AS expected FROM benchmark), f AS (SELECT item_id AS task, concat('src/x/f', item_id + k, '.ts') AS path FROM benchmark, (VALUES (0), (1), (2)) AS v(k) WHERE (item_id + k) % 3 <> 0),
-    h AS (SELECT e.task, count(DISTINCT expected) AS e, count(DISTINCT path) AS p FROM e JOIN f ON e.task = f.task AND ends_with(path, expected) GROUP BY 1),
+    """WITH e AS (SELECT item_id AS task, concat('f', item_id, '.ts') AS expected FROM benchmark), f AS (SELECT item_id AS task, concat('src/', CASE WHEN k = 3 THEN 'y' ELSE 'x' END, '/f', item_id + k % 3, '.ts') AS path FROM benchmark, (VALUES (0), (1), (2), (3)) AS v(k) WHERE (item_id + k % 3) % 3 <> 0),
+    h AS (SELECT e.task, count(DISTINCT expected) AS e FROM e JOIN f ON e.task = f.task AND ends_with(path, expected) GROUP BY 1),
     a AS (SELECT task, count(DISTINCT expected) AS want FROM e GROUP BY 1), b AS (SELECT task, count(DISTINCT path) AS got FROM f GROUP BY 1)
-    SELECT a.task, floor(coalesce(CAST(e AS DOUBLE) / want, 0) * 100 + 0.5) / 100 AS recall, floor(coalesce(CAST(p AS DOUBLE) / got, 0) * 100 + 0.5) / 100 AS precision
+    SELECT a.task, floor(coalesce(CAST(e AS DOUBLE) / want, 0) * 100 + 0.5) / 100 AS recall, floor(coalesce(CAST(e AS DOUBLE) / got, 0) * 100 + 0.5) / 100 AS precision
     FROM a LEFT JOIN b ON a.task = b.task LEFT JOIN h ON a.task = h.task"""
 )
 def b1_retrieval_benchmark(spark, sf_dir):
     """A15 and B1."""
     items = table(spark, sf_dir, "benchmark")
     expected = items.select(F.col("item_id").alias("task"), F.concat(F.lit("f"), F.col("item_id").cast("string"), F.lit(".ts")).alias("expected"))
-    found = items.select(F.col("item_id").alias("task"), F.explode(F.array(*[F.col("item_id") + k for k in range(3)])).alias("n")).where("n % 3 <> 0")
-    found = found.select("task", F.concat(F.lit("src/x/f"), F.col("n").cast("string"), F.lit(".ts")).alias("path"))
+    found = items.select(F.col("item_id").alias("task"), F.posexplode(F.array(*[F.col("item_id") + k % 3 for k in range(4)])).alias("k", "n")).where("n % 3 <> 0")
+    folder = F.when(F.col("k") == 3, "src/y/f").otherwise("src/x/f")
+    found = found.select("task", F.concat(folder, F.col("n").cast("string"), F.lit(".ts")).alias("path"))
     return search.recall(found, expected)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import queries_graph, queries_more, queries_rel, queries_sql, queries_text  # noqa: F401  (they register their queries)
+from graphloom.plans import queries_code, queries_graph, queries_more, queries_rel, queries_sql, queries_text  # noqa: F401  (they register their queries)
 from graphloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -59,3 +59,20 @@ def test_services(spark):
     got = {(r.src, r.dst, r.type) for r in services.all_edges(svc, name(exported), name(services.consumed_apis(s)), deps).collect()}
     assert got == {("b", "a", "api"), ("b", "a", "package_dep"), ("c", "b", "package_dep")}
     assert '"links"' in services.graph_json(svc, deps).first().document
+
+
+def test_benchmark(spark):
+    p = project(spark)
+    rows = {r.task: r for r in p.benchmark([("t1", "fix login service", ["service.ts", "nowhere.ts"]), ("t2", "zzz qqq", ["app.ts"])], budget=500).collect()}
+    packed = p.get_context("fix login service", 500, 15).collect()
+    whole = sum((len(r.content) + 3) // 4 for r in p.files.collect())
+    assert rows["t1"].recall == 0.5 and rows["t1"].precision == int(1 / len(packed) * 100 + 0.5) / 100 and rows["t2"].recall == rows["t2"].precision == 0.0
+    assert 0 < rows["t1"].tokens <= 500 and rows["t1"].savings == max(0, int((whole - rows["t1"].tokens) / whole * 100 + 0.5)) and rows["t2"].savings == 100.0
+    assert "| t1 |" in reports.leaderboard(p.benchmark([("t1", "fix login service", ["service.ts"])])).first()[-1]
+
+
+def test_signatures_and_semantic_edges(spark):
+    p = project(spark)
+    assert {(r.name, r.signature) for r in p.signatures().where("kind = 'function'").collect()} == {("login", "function login(a)")}
+    # Without a configuration the root is the base; one file imports the other by its path.
+    assert {(r.src, r.dst, r.kind, tuple(r.symbols)) for r in p.semantic_edges().collect()} == {("src/app.ts", "src/service.ts", "import", ("s",)), ("src/service.ts", "src/util.ts", "import", ("u",))}
