@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import whole_text
 
-SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, French, German, Spanish.
 STOP_WORDS = (
@@ -90,15 +89,14 @@ def add_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     given = docs.columns
     own = ["q_words", "q_lines", "q_packed", "q_close", "q_near", "q_exact"]
     df = docs.withColumn("q_words", words_of(text)).withColumn(
-        "q_lines", F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+        "q_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     )
     df = _add_repeats(df.withColumn("n_words", F.size("q_words").cast("long")))
     covered = F.array_distinct(F.flatten(F.transform("q_exact", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    chars = F.length(text)
     df = df.withColumns(
         {
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": (chars - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("q_words", "")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
             "n_repeat_words": F.size(covered).cast("long"),
         }
@@ -106,13 +104,13 @@ def add_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     some = lambda x: F.greatest(x, F.lit(1)).cast("double")
     n_words, n_lines = some(F.col("n_words")), some(F.size("q_lines"))
     share = lambda test: F.size(F.filter("q_lines", test)).cast("double") / n_lines
-    plain = words_of(F.translate(F.lower(text), ".,;:!?\"'()", ""))
+    plain = words_of(F.regexp_replace(F.lower(text), r"[.,;:!?\"'()]+", ""))
     df = df.withColumns(
         {
             "mean_word_chars": F.col("word_chars") / n_words,
             "repeat_ratio": F.col("n_repeat_words") / n_words,
             "symbol_ratio": F.col("n_symbols") / some(F.col("word_chars")),
-            "exclaim_ratio": (chars - F.length(F.translate(text, "!", ""))) / n_words,
+            "exclaim_ratio": (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))) / n_words,
             "stop_ratio": F.size(F.filter(plain, lambda w: w.isin(STOP_WORDS))) / n_words,
             "dup_line_ratio": F.col("n_dup_lines") / n_lines,
             "bullet_ratio": share(lambda x: F.ltrim(x).rlike("^[-*•]")),
