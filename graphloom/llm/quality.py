@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import whole_text
 
+#: What separates words.
+SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, French, German, Spanish.
 STOP_WORDS = (
