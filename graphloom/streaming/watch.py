@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.scan import ignored
 
+#: Where a drained stream keeps its state: on the executors' disks, with bounded memory beside the heap.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
+
 
 def watch(spark: SparkSession, root: str, extra_ignore: list[str] = ()) -> DataFrame:
     """A stream of changed files: ``path, modified, size, content``."""
@@ -59,7 +65,8 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     """Runs a stream over what is there and returns its rows as a table.
 
     The executors write the rows into a folder of the checkpoint, a folder a
-    batch (one for all in complete mode); none of them pass the driver.
+    batch (one for all in complete mode); none of them pass the driver.  Unless
+    the session names another store, the state lies on disk as ``STATE`` says.
     """
     spark, rows = stream.sparkSession, f"{checkpoint}/rows"
     folder = spark._jvm.org.apache.hadoop.fs.Path(rows)
@@ -69,5 +76,13 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
         batch.write.mode("overwrite").parquet(rows if mode == "complete" else f"{rows}/{i}")
 
     writer = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    ours = {} if spark.conf.get(next(iter(STATE)), None) else {k: v for k, v in STATE.items() if spark.conf.get(k, None) is None}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
+        query = writer.trigger(availableNow=True).start()  # takes the settings as they are now
+    finally:
+        for k in ours:
+            spark.conf.unset(k)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(rows)

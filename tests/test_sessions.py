@@ -69,3 +69,19 @@ def test_drain_modes(spark, tmp_path):
             stream = spark.readStream.schema("k long").parquet(str(tmp_path / mode)).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
             got = sorted(map(tuple, watch.drain(stream, f"t_{mode}", str(tmp_path / f"cp_{mode}"), mode).collect()))
         assert got == want
+
+
+@pytest.mark.parametrize("named", [None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"])
+def test_state_of_a_drained_stream(spark, tmp_path, named):
+    key = next(iter(watch.STATE))
+    spark.range(9).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if named:
+        spark.conf.set(key, named)
+    try:
+        assert watch.drain(stream, f"state_{bool(named)}", str(tmp_path / "cp"), "complete").count() == 9
+        assert spark.conf.get(key, None) == named
+    finally:
+        spark.conf.unset(key)
+    assert (named or watch.STATE[key]) in (tmp_path / "cp/offsets/0").read_text()
+    assert all(spark.conf.get(k, None) is None for k in watch.STATE)
